@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import cooccur, packing
+from weftline.llm import cooccur, leakage, packing, truncation
 from weftline.session import read_table
 
 #: G2 of one degree of freedom at a probability of 0.001.
@@ -31,7 +31,35 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p7_packed)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every test item, in how many documents it leaks and how much of it at most; items that don't leak too."""
+    leaks = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("most_words"))
+    items = read_table(spark, sf_dir, "eval_items").select("item_id", "suite")
+    return items.join(leaks, "item_id", "left").fillna(0, ["n_docs", "most_words"])
+
+
+def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cuts(spark, sf_dir).filter("p_cut >= 0.5").select("doc_id").distinct()
+
+
+def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts, and how often at a limit."""
+    return truncation.source_report(_cuts(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p7_packed, p8_found, p8_items, p9_found, p9_sources)}
 
 _PAIRS = """
 WITH b AS (SELECT DISTINCT order_id, product_id FROM order_items WHERE order_id IS NOT NULL AND product_id IS NOT NULL),
