@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Failing blocks are halved down to this many records, which are then diagnosed one by one.
+SMALL_BLOCK = 8
 #: A whole record made of fields that are either quoted throughout or free of quotes (RE2 syntax).
 FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
 WELL_QUOTED = rf"\A{FIELD}(?:,{FIELD})*\z"
@@ -97,6 +99,18 @@ class BlockParser:
         self.csv = pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False)
         self.types = {f.name: {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}.get(f.type) for f in spec.fields}
 
+    def one(self, f: FieldRule, value: str):
+        """A single value in its type; digits beyond the type are null."""
+        kind = self.types[f.name]
+        if kind is None:
+            return value
+        if value == "":
+            return None
+        if kind == pa.float64():
+            return float(value)
+        n = int(value)
+        return n if n < 1 << (kind.bit_width - 1) else None
+
     def typed(self, f: FieldRule, col: pa.Array) -> pa.Array:
         kind = self.types[f.name]
         if kind is None:
@@ -144,13 +158,7 @@ class BlockParser:
         for (f, must, never), v in zip(self.checks, values):
             if (must and not must.search(v)) or (never and never.search(v)) or (not f.blank_ok and not v.strip()):
                 return "value", f"{f.name}: {v[:60]!r}", []
-        typed = []
-        for f, v in zip(self.spec.fields, values):
-            try:
-                typed.append(self.typed(f, pa.array([v], pa.string()))[0].as_py())
-            except pa.ArrowInvalid:  # digits, but too many for the type
-                typed.append(None)
-        return None, "", typed
+        return None, "", [self.one(f, v) for f, v in zip(self.spec.fields, values)]
 
     def parse(self, texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array] | None, tuple | None]]:
         """(start, length, columns, None) of good runs and (start, 1, None, diagnosis) of single records, in order."""
@@ -159,13 +167,14 @@ class BlockParser:
             at, n = stack.pop()
             if n == 0:
                 continue
-            if n > 1 or self.tries == 0:
+            if n > SMALL_BLOCK or self.tries == 0:
                 cols = self.block(texts.slice(at, n))
                 if cols is not None:
                     yield at, n, cols, None
                     continue
-            if n == 1:
-                yield at, 1, None, self.strict(texts[at].as_py())
+            if n <= SMALL_BLOCK:  # halving on would cost more than looking at each record
+                for k in range(at, at + n):
+                    yield k, 1, None, self.strict(texts[k].as_py())
                 continue
             half = n // 2
             stack += [(at + half, n - half), (at, half)]
