@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import cooccur, leakage, packing, truncation
+from weftline.llm import cooccur, leakage, matching, packing, truncation
+from weftline.operators import units
 from weftline.session import read_table
 
 #: G2 of one degree of freedom at a probability of 0.001.
 SIGNIFICANT = 10.828
 
 
+#: Grade words and house names, which may differ between names of one product.
+GRADES = ("organic", "mild", "hot", "dark", "light", "unsweetened", "extra", "fine", "old", "style")
+HOUSES = ("quillmark", "foods", "ostrel", "provisions", "halvern", "trading")
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of the second table are brought to EUR before the comparison."""
+    known = units.known_units(read_table(spark, sf_dir, "measure_units"))
+    feeds = units.declared_sources(read_table(spark, sf_dir, "price_feeds"), "feed", "price_unit")
+
+    @F.pandas_udf("double")
+    def euros(text: pd.Series, feed: pd.Series) -> pd.Series:
+        got = [units.convert_price(known, feeds, t, f) for t, f in zip(text, feed)]
+        return pd.Series([None if g is None else g[1] / 100 for g in got], dtype=float)
+
+    ds2 = read_table(spark, sf_dir, "ds2_products").select("productid", "productname", "categoryid", euros("unitprice", "feed").alias("eur"))
+    return matching.match_entities(
+        matching.Side(read_table(spark, sf_dir, "ds1_products"), "id", "product_name", "list_price", "category"),
+        matching.Side(ds2, "productid", "productname", "eur", "categoryid"),
+        GRADES + HOUSES,
+    ).select(F.col("left_id").alias("ds1_id"), F.col("right_id").alias("ds2_productid"), "confidence")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select("ds1_id", "ds2_productid")
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with their confidence."""
+    return _matches(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cooccur.cooccurrence(read_table(spark, sf_dir, "order_items"), "order_id", "product_id", min_count=12, min_lift=4)
     return got.select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"))
@@ -59,7 +93,7 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_report(_cuts(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p7_packed, p8_found, p8_items, p9_found, p9_sources)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_pairs, p7_packed, p8_found, p8_items, p9_found, p9_sources)}
 
 _PAIRS = """
 WITH b AS (SELECT DISTINCT order_id, product_id FROM order_items WHERE order_id IS NOT NULL AND product_id IS NOT NULL),

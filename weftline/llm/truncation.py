@@ -366,7 +366,7 @@ def truncation(docs: DataFrame, doc_id: str, text: str, source: str, sample: int
     ensure_checkpoint_dir(docs.sparkSession)
     n = docs.count()
     seen = evidence(docs, doc_id, text, source, min(1.0, sample / max(1, n))).checkpoint()
-    limits = limit_posteriors(seen)
+    limits = limit_posteriors(seen).checkpoint()  # a few rows per source, used in several places
     by_chars = limits.filter("unit = 'chars'").select(F.col("source").alias("s1"), F.col("length").alias("l1"), F.col("p_limit").alias("p1"))
     by_bytes = limits.filter("unit = 'bytes'").select(F.col("source").alias("s2"), F.col("length").alias("l2"), F.col("p_limit").alias("p2"))
     placed = seen.join(by_chars, F.col("source").eqNullSafe(F.col("s1")) & (F.col("chars") == F.col("l1")), "left")
