@@ -29,9 +29,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan, without running it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Estimates from here on mean that the optimizer knows nothing.
+UNKNOWN_BYTES = 1 << 55
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan, without running it; None where it has none."""
+    got = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return None if got >= UNKNOWN_BYTES else got
+
+
+def parts_for(df: DataFrame, bytes_per_part: int) -> int:
+    """Into how many parts of a size a table falls; without an estimate, the session's number of shuffle partitions."""
+    size = plan_bytes(df)
+    if size is None:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(size / bytes_per_part))
 
 
 def chunk_count(df: DataFrame) -> int:
@@ -39,5 +52,4 @@ def chunk_count(df: DataFrame) -> int:
     raw = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower()
     unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     digits = raw.rstrip("b")
-    size = int(digits[:-1]) * unit[digits[-1]] if digits and digits[-1] in unit else int(digits)
-    return max(1, min(math.ceil(plan_bytes(df) / max(1, size)), 1 << 30))
+    return parts_for(df, int(digits[:-1]) * unit[digits[-1]] if digits and digits[-1] in unit else int(digits))
