@@ -10,7 +10,6 @@ Workers never need each other.
 from __future__ import annotations
 
 import base64
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import plan_bytes
+from weftline.session import parts_for
 
 CAPACITY = 4096
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -129,7 +128,7 @@ def pack_documents(df: DataFrame, doc_id: str, text: str, capacity: int = CAPACI
     gives an empty result; other columns are ignored.
     """
     if workers is None:
-        workers = max(1, math.ceil(plan_bytes(df) / BYTES_PER_WORKER))
+        workers = parts_for(df, BYTES_PER_WORKER)
     names = ["doc_id", "piece", "token_start", "n_tokens", "container_id", "place", "token_offset"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
