@@ -292,16 +292,20 @@ class Table(Element):
 
     # data
 
-    def load(self, df: DataFrame, order_by: list[str] | None = None, id_column: str | None = None) -> Table:
+    def load(self, df: DataFrame, order_by: list[str] | None = None, id_column: str | None = None, dense: bool = True) -> Table:
         """Take a DataFrame as the table's data.
 
         Ids are those of ``id_column`` (whole numbers that grow in the order of
-        the rows), or dense by ``order_by``, or by the order of the source.
+        the rows), or dense by ``order_by``, or by the order of the source;
+        without ``dense`` the latter have gaps, which needs no numbering at all
+        and serves everything but rolls by row distance.
         """
         if id_column is not None:
             data = df.withColumn(ID, F.col(f"`{id_column}`").cast("long"))
         elif order_by:
             data = with_ids(df, order_by)
+        elif not dense:
+            data = arrival_order(df, ID)
         else:
             data = with_ids(arrival_order(df), ["__arrival"]).drop("__arrival")
         for f in df.schema.fields:

@@ -48,7 +48,7 @@ def _frame_value(window, position: Column, how: Column | None, step, params: lis
 
 
 def roll(df: DataFrame, past: int, future: int, name: str, how: Column | None = None, step: Callable | None = None, params: list[Column] = (), default: Any = 0.0, kind: str = "double", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Window by row distance over dense ids: ``how`` is an aggregate expression, or ``step(acc, distance, params)`` a fold in order of ids."""
+    """Window by row distance over dense ids: ``how`` is one aggregate function, or ``step(acc, distance, params)`` a fold in order of ids."""
     if past < 0 or future < 0 or (how is None) == (step is None):
         raise EngineError(ErrorCode.DEFINITION, "a roll needs sizes of 0 or more and either an aggregate or a step")
     before, after = max(0, past - 1), future

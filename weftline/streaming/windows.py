@@ -35,7 +35,7 @@ def sliding_average(df: DataFrame, value: Column, past: int, name: str, divisor:
     """Over the last ``past`` rows by id: the average, or the sum over a fixed divisor (also where fewer rows exist)."""
     from weftline.operators.roll import roll
 
-    how = F.avg(value) if divisor is None else F.sum(value) / F.lit(float(divisor))
+    how = F.avg(value) if divisor is None else F.sum(value / F.lit(float(divisor)))
     return roll(df, past, 0, name, how)
 
 
