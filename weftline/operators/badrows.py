@@ -202,21 +202,31 @@ def parse_records(df: DataFrame, spec: RecordSpec, text: str, keep: list[str]) -
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        n_fields = len(spec.fields)
+
+        def out(batch: pa.RecordBatch, rows: list[int], columns: list[pa.Array]) -> pa.RecordBatch:
+            at = pa.array(rows, pa.int64())
+            whole = [batch.column(i).take(at) for i in range(n_keep)] + columns
+            return pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(whole, arrow)], schema=arrow)
+
         for batch in batches:
+            # one batch of right records and one of wrong ones, however many blocks there were
             parser, texts = BlockParser(spec), batch.column(n_keep)
-            bad: list[tuple[int, tuple]] = []
+            right: list[int] = []
+            blocks: list[list[pa.Array]] = []
+            single: list[tuple[int, tuple]] = []
             for at, n, cols, diagnosis in parser.parse(texts):
                 if cols is None:
-                    bad.append((at, diagnosis))
-                    continue
-                whole = [batch.column(i).slice(at, n) for i in range(n_keep)] + cols + [pa.nulls(n, pa.string())] * 2
-                yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(whole, arrow)], schema=arrow)
-            if bad:
-                rows = pa.array([i for i, _ in bad], pa.int64())
-                whole = [batch.column(i).take(rows) for i in range(n_keep)]
-                for i, f in enumerate(spec.fields):
-                    whole.append(pa.array([d[2][i] if d[2] else None for _, d in bad], arrow.field(n_keep + i).type))
-                whole += [pa.array([d[0] for _, d in bad], pa.string()), pa.array([d[1] if d[0] else None for _, d in bad], pa.string())]
-                yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(whole, arrow)], schema=arrow)
+                    single.append((at, diagnosis))
+                else:
+                    right += range(at, at + n)
+                    blocks.append(cols)
+            if blocks:
+                columns = [pa.concat_arrays([b[i].cast(arrow.field(n_keep + i).type) for b in blocks]) for i in range(n_fields)]
+                yield out(batch, right, columns + [pa.nulls(len(right), pa.string())] * 2)
+            if single:
+                columns = [pa.array([d[2][i] if d[2] else None for _, d in single], arrow.field(n_keep + i).type) for i in range(n_fields)]
+                columns += [pa.array([d[0] for _, d in single], pa.string()), pa.array([d[1] if d[0] else None for _, d in single], pa.string())]
+                yield out(batch, [i for i, _ in single], columns)
 
     return source.mapInArrow(run, schema)
