@@ -42,11 +42,11 @@ class Formula:
     tree: tuple
     identity: bool
 
-    def column(self, resolve: Callable[[tuple[str, ...]], Column], out: Column | None = None) -> Column:
-        """The expression, with each path turned into a Column by ``resolve``."""
+    def column(self, resolve: Callable[[tuple[str, ...]], Column], out: Column | None = None, numbers: frozenset = frozenset()) -> Column:
+        """The expression, with each path turned into a Column by ``resolve``; ``numbers`` are the paths known to hold numbers, which needn't be read as text."""
         if self.identity:
             return self._leaf(self.tree[1], resolve, out)
-        return self._build(self.tree, resolve, out)
+        return self._build(self.tree, resolve, out, numbers)
 
     def uses_out(self) -> bool:
         return any(len(p) == 1 and p[0].lower() == "out" for p in self.paths)
@@ -58,17 +58,18 @@ class Formula:
             return out
         return resolve(path)
 
-    def _build(self, t: tuple, resolve, out) -> Column:
+    def _build(self, t: tuple, resolve, out, numbers) -> Column:
         kind = t[0]
         if kind == "number":
             return F.lit(t[1])
         if kind == "path":
-            return to_number(self._leaf(t[1], resolve, out))
+            value = self._leaf(t[1], resolve, out)
+            return F.coalesce(value.cast("double"), F.lit(float("nan"))) if t[1] in numbers else to_number(value)
         if kind == "call":
-            return FUNCTIONS[t[1]](self._build(t[2], resolve, out))
+            return FUNCTIONS[t[1]](self._build(t[2], resolve, out, numbers))
         if kind == "neg":
-            return -self._build(t[1], resolve, out)
-        a, b = self._build(t[1], resolve, out), self._build(t[2], resolve, out)
+            return -self._build(t[1], resolve, out, numbers)
+        a, b = self._build(t[1], resolve, out, numbers), self._build(t[2], resolve, out, numbers)
         return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: safe_div(a, b), "%": lambda: F.when(b == 0, F.lit(float("nan"))).otherwise(F.try_mod(a, b)), "^": lambda: F.pow(a, b)}[kind]()
 
 

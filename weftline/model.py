@@ -126,7 +126,7 @@ class Column(Element):
         """``fn`` gets a list of Columns and returns one; with ``udf`` it is plain Python over values; a string is a formula; None gives the default."""
         if isinstance(fn, str):
             f = formulas.parse(fn)
-            self.define(Definition("calculate", fn=lambda ps, f=f: f.column(lambda p: ps[f.paths.index(p)]), paths=list(f.paths), udf=False))
+            self.define(Definition("calculate", fn=f, paths=list(f.paths), udf=False))
         else:
             self.define(Definition("calculate", fn=fn, paths=[as_path(p) for p in paths], udf=udf))
         return self

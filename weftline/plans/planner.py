@@ -6,11 +6,13 @@ import pandas as pd
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.errors import EngineError, ErrorCode
-from weftline.model import Column, Definition, Element, Schema, Table
+from weftline.functions.formula import Formula
+from weftline.model import Column, Definition, Element, Schema, Table, as_path
 from weftline.operators.accumulate import accumulate
-from weftline.operators.ids import ID
+from weftline.operators.ids import ID, with_ids
 from weftline.operators.link import link, project
 from weftline.operators.product import product
 from weftline.operators.ranges import interval_link, project_range, range_table
@@ -114,12 +116,7 @@ class Frames:
             return df
         paths: list[tuple[str, ...]] = []
 
-        class Probe(Exception):
-            pass
-
         def note(p):
-            from weftline.model import as_path
-
             names = as_path(p)
             if not t.column(names[0]).is_key:
                 raise EngineError(ErrorCode.DEFINITION, f"a condition on {t} must begin with a key column, not {names[0]}")
@@ -130,9 +127,6 @@ class Frames:
         d.where(note)
         keep = df.columns
         joined, values = self.with_paths(t, df, paths)
-        from weftline.model import as_path
-        from weftline.operators.ids import with_ids
-
         kept = joined.filter(d.where(lambda p: values[paths.index(as_path(p))])).select(*(f"`{c}`" for c in keep))
         return with_ids(kept.withColumnRenamed(ID, "__old"), ["__old"]).select(*keep)
 
@@ -186,7 +180,12 @@ class Frames:
             value = F.pandas_udf(call, c.kind)(*values)
         else:
             try:
-                value = d.fn(values)
+                if isinstance(d.fn, Formula):
+                    types = joined.select(*(v.alias(f"c{i}") for i, v in enumerate(values))).schema.fields
+                    numbers = frozenset(p for p, f in zip(d.paths, types) if isinstance(f.dataType, T.NumericType))
+                    value = d.fn.column(lambda p: values[d.paths.index(p)], None, numbers)
+                else:
+                    value = d.fn(values)
             except Exception as e:
                 raise EngineError(ErrorCode.DEFINITION, f"{c}: the function doesn't work on Columns", f"{e}; use F.when, F.exp and the like, or udf=True") from e
             value = value if isinstance(value, SparkColumn) else F.lit(value)

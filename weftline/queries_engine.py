@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from weftline.operators.accumulate import Count, Fold, Plain, StreamFold, Sum, a
 from weftline.operators.ids import ID
 from weftline.operators.ranges import DurationRange, NumberRange, PeriodRange, range_table
 from weftline.operators.roll import roll_by
-from weftline.session import read_table
+from weftline.session import ensure_checkpoint_dir, read_table
+from weftline.sources.replay import file_stream
 from weftline.streaming import server as S
 from weftline.streaming import windows
 
@@ -319,6 +321,26 @@ def retention_age(spark, sf_dir):
     return t["events"].df().select("event_id", "value")
 
 
+def stream_totals(spark, sf_dir):
+    """Events that arrive as a stream of files are appended and linked to their hour; the totals are what the last batch left."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    s = Schema(spark)
+    events, kinds = s.create_table("events"), s.create_table("kinds")
+    for name, kind in (("event_id", "bigint"), ("event_type", "string"), ("value", "double")):
+        s.create_column(name, events, kind=kind)
+    s.create_column("name", kinds, kind="string").noop(True)
+    kinds.product()
+    s.create_column("of_kind", events, kinds).project("event_type", "name")
+    s.create_column("n", kinds, kind="bigint").set_default(0).accumulate("of_kind", events, lambda p: Count())
+    s.create_column("total", kinds).set_default(0.0).accumulate("of_kind", events, lambda p: Sum(p[0]), "value")
+    schema = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value").schema
+    stream = file_stream(spark, sf_dir, schema, "parquet", pathGlobFilter="events.parquet")
+    S.Server(s, f"{folder}/tables").start(stream, [S.add(events), S.evaluate], f"{folder}/progress").awaitTermination()
+    s.evaluate()
+    return kinds.df().select("name", "n", F.round("total", 2).alias("total"))
+
+
 def formula_calc(spark, sf_dir):
     s, t = tables(spark, sf_dir, "lineitem")
     s.create_column("charge", t["lineitem"]).calculate("[l_extendedprice] * (1 - [l_discount]) * (1 + [l_tax]) + sqrt([l_quantity]) ^ 2")
@@ -366,7 +388,7 @@ QUERIES = {
         nation_revenue, calc_revenue, calc_path, calc_udf, link_customer, link_missing, link_first_duplicate, link_nullsafe, link_two_keys, link_range_number, link_range_duration, link_range_period,
         project_distinct, project_where, project_range_gaps, accumulate_customer, accumulate_path, accumulate_of_accumulate, accumulate_retract, accumulate_fold,
         roll_rows, roll_future, roll_weighted, roll_smooth, roll_mean, roll_diff, roll_time, product_all, product_where, range_number, range_duration, range_period, vwap_hourly, tumble_then_roll,
-        window_tumbling, window_sessions, retention_count, retention_age, formula_calc, formula_path, formula_fold, semi_anti,
+        window_tumbling, window_sessions, stream_totals, retention_count, retention_age, formula_calc, formula_path, formula_fold, semi_anti,
     )
 }
 
@@ -431,6 +453,7 @@ SQL = {
     "window_tumbling": """SELECT CAST(floor(epoch_us(ts) / 1800000000) * 1800000000 AS BIGINT) AS start_micros, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
     "window_sessions": """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS brk FROM events),
         s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g) SELECT epoch_us(min(ts)) AS start_micros, user_id, count(*) AS n, max(value) AS top FROM s GROUP BY user_id, sid""",
+    "stream_totals": "SELECT event_type AS name, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "retention_count": "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 500",
     "retention_age": "SELECT event_id, value FROM events WHERE event_id >= coalesce((SELECT min(event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-05' - INTERVAL 36 HOUR), 9223372036854775807)",
     "formula_calc": "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax) + l_quantity, 6) AS charge FROM lineitem",
