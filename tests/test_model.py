@@ -259,3 +259,18 @@ def test_aggregate_of_aggregate(s):
     s.create_column("S", custs).accumulate("O.C", items, lambda p: Sum(p[0]), "v")
     s.evaluate()
     assert custs.row(0)["M"] == 5.0 and custs.row(0)["S"] == 10.0
+
+
+def test_views_bounds_and_changes(s):
+    t = load(s, "Things", [(1.0,), (4.0,), (4.0,)], "A double")
+    s.create_column("B", t).calculate("[A] * 2")
+    assert t.is_changed()
+    s.evaluate()
+    s.create_views("v_")
+    assert s.spark.sql("SELECT sum(B) FROM v_Things").first()[0] == 18.0 and not t.is_changed()
+    assert t.column("B").lower_bound(8.0) == 1 and t.column("B").lower_bound(9.0) == -1 and t.id_range() == (0, 3)
+    t.add([{"A": 9.0}])
+    t.remove(2)
+    assert t.changes() == ((3, 4), (0, 2)) and t.is_changed()
+    s.evaluate()
+    assert t.changes() == ((4, 4), (2, 2)) and t.id_range() == (2, 4)

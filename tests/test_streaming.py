@@ -101,3 +101,24 @@ def test_windows(spark):
     full = filled(got, start, dt.timedelta(minutes=5), 4, {"total": 0.0, "n": 0})
     assert [(r.interval, r.total, r.n) for r in full.orderBy("interval").collect()] == [(0, 5.0, 2), (1, 0.0, 0), (2, 0.0, 0), (3, 33.0, 2)]
     assert sorted(r.n for r in sessions(df, "ts", "10 minutes", [], F.count("*").alias("n")).collect()) == [2, 2]
+
+
+def test_sliding_totals_forget_what_is_old(spark, tmp_path):
+    from weftline.streaming.state import sliding_totals
+
+    folder, start = tmp_path / "in", dt.datetime(2024, 1, 1)
+    folder.mkdir()
+    batches = [[("a", 0, 1.0), ("b", 5, 2.0)], [("a", 50, 4.0), ("a", 20, 8.0)], [("a", 65, 16.0), ("b", 5, 32.0), ("", 70, 1.0)]]
+    for k, rows in enumerate(batches):
+        lines = [f"{u},{(start + dt.timedelta(seconds=s)).isoformat()},{v}" for u, s, v in rows]
+        (folder / f"{k}.csv").write_text("u,ts,v\n" + "\n".join(lines) + "\n")
+        os.utime(folder / f"{k}.csv", (1_700_000_000 + 60 * k,) * 2)
+    stream = file_stream(spark, str(folder), "u string, ts timestamp, v double")
+    out = []
+
+    def keep(df, i):
+        out.append({r.key: (r.total, r.n) for r in df.collect()})
+
+    q = sliding_totals(stream, "u", "ts", "v", 60, "1 hour").writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [b for b in out if b] == [{"a": (1.0, 1), "b": (2.0, 1)}, {"a": (13.0, 3)}, {"a": (28.0, 3), "b": (34.0, 2)}]

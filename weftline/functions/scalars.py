@@ -22,3 +22,8 @@ def to_number(x: Column) -> Column:
 def epoch_seconds(x: Column) -> Column:
     """Seconds since 1970, with microseconds, of a timestamp (with or without a zone; UTC is meant)."""
     return F.unix_micros(x.cast("timestamp")) / F.lit(1_000_000.0)
+
+
+def ordered_intersection(a: Column, b: Column) -> Column:
+    """The distinct values of array ``a`` that ``b`` has too, in the order of ``a``."""
+    return F.array_intersect(a, b)

@@ -215,6 +215,11 @@ class Column(Element):
         got = self.df().filter(F.col(ID) == row).first()
         return None if got is None else got[self.name]
 
+    def lower_bound(self, value: Any) -> int:
+        """Lowest id whose value is ``value`` or more, -1 if there is none."""
+        got = self.df().filter(F.col(f"`{self.name}`") >= F.lit(value)).agg(F.min(ID)).first()[0]
+        return -1 if got is None else got
+
     def set_values(self, value: Any, where: SparkColumn | None = None) -> None:
         """One value for all rows, or for those that hold a condition (over ``_id`` and other columns of the table's data)."""
         old = F.col(self.name) if self.name in self.table.data.columns else F.lit(None)
@@ -375,6 +380,19 @@ class Table(Element):
     def length(self) -> int:
         return self.df().count()
 
+    def id_range(self) -> tuple[int, int]:
+        """Lowest live id and the next one to be given."""
+        low, high = self.df().agg(F.min(ID), F.max(ID)).first()
+        return (self.low, max(self.low, self.next_id)) if low is None else (low, high + 1)
+
+    def changes(self) -> tuple[tuple[int, int], tuple[int, int]]:
+        """Ranges of the ids added and removed since the last evaluation."""
+        return self.added, self.removed
+
+    def is_changed(self) -> bool:
+        """Whether the data or a definition is newer than the last evaluation."""
+        return self.version > self.schema.evaluated_at or any(c.version > self.schema.evaluated_at for c in self.columns())
+
     def find(self, values: dict[str, Any]) -> int:
         """Lowest id of a row with these values (null equals null), -1 if there is none."""
         cond = F.lit(True)
@@ -479,6 +497,11 @@ class Schema:
             table = c.output
         return out
 
+    def create_views(self, prefix: str = "") -> None:
+        """Make the evaluated tables known to ``spark.sql`` under their names."""
+        for name, df in self.frames.items():
+            df.createOrReplaceTempView(prefix + name)
+
     def evaluate(self, *wanted: Element) -> None:
         """Bring the frames up to date: of all elements, or of ``wanted`` and what they depend on. Nothing runs yet."""
         from weftline.plans.planner import evaluate
