@@ -19,6 +19,7 @@ from weftline.errors import EngineError, ErrorCode
 from weftline.functions import formula as formulas
 from weftline.operators.ids import ID, arrival_order, with_ids
 from weftline.operators.ranges import Range
+from weftline.session import ship_package
 
 if TYPE_CHECKING:
     from weftline.operators.accumulate import Aggregate
@@ -418,6 +419,7 @@ class Schema:
     """A catalog of tables and columns and the frames of their last evaluation."""
 
     def __init__(self, spark: SparkSession, name: str = "schema"):
+        ship_package(spark)
         self.spark, self.name, self.id = spark, name, uuid.uuid4()
         self.tables: list[Table] = []
         self.columns: list[Column] = []

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.ids import ID
+from weftline.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,7 @@ class StreamFold:
     def run(self, facts: DataFrame, group: Column, order: str, default: Any, kind: str) -> DataFrame:
         names = [f"p{i}" for i in range(len(self.params))]
         rows = facts.select(group.alias("__g"), F.col(order).alias("__o"), *(p.alias(n) for p, n in zip(self.params, names))).filter("__g >= 0")
+        ship_package(facts.sparkSession)
         rows = rows.repartition("__g").sortWithinPartitions("__g", "__o")
         step = self.step
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import ship_package
+
 #: Failing blocks are halved down to this many records, which are then diagnosed one by one.
 SMALL_BLOCK = 8
 #: A whole record made of fields that are either quoted throughout or free of quotes (RE2 syntax).
@@ -190,6 +192,7 @@ def parse_records(df: DataFrame, spec: RecordSpec, text: str, keep: list[str]) -
     columns of ``df`` don't matter; an empty table gives an empty result; names
     in ``keep`` must differ from the spec's.
     """
+    ship_package(df.sparkSession)
     clash = {*keep} & {*spec.names, "reason", "detail"}
     if clash:
         raise ValueError(f"rename these columns first: {sorted(clash)}")

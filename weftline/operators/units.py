@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import ship_package
+
 #: Spellings of the units, by the name they have in the table of units (lower case, final dots removed).
 SPELLINGS = {
     "mg": "mg mgs milligram milligrams",
@@ -271,6 +273,7 @@ def common_units(df: DataFrame, row_id: str, pack: str, price: str, source: str,
     and bare numbers of a source without a unit give no row; copies of a row
     give one.  Other columns of ``df`` are ignored.
     """
+    ship_package(df.sparkSession)
     d = df.select(
         F.col(f"`{row_id}`").cast("long").alias("row_id"), F.col(f"`{pack}`").cast("string").alias("pack"),
         F.col(f"`{price}`").cast("string").alias("price"), F.col(f"`{source}`").cast("string").alias("source"),

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let executors import this package, wherever the driver runs: it goes to them with the session's files, once."""
+    sc = spark.sparkContext
+    if getattr(sc, "_weftline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    handle, place = tempfile.mkstemp(prefix="weftline-", suffix=".zip")  # the driver serves it to the executors
+    os.close(handle)
+    with zipfile.ZipFile(place, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(place)
+    atexit.register(lambda: os.path.exists(place) and os.remove(place))
+    sc._weftline_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

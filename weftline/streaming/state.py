@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import ship_package
+
 
 def sliding_totals(stream: DataFrame, key: str, time: str, value: str, age_seconds: float, watermark: str = "0 seconds") -> DataFrame:
     """``(key, upto, total, n)`` per key and batch: sum and number of the values younger than ``age_seconds`` at the key's latest time.
@@ -17,6 +19,7 @@ def sliding_totals(stream: DataFrame, key: str, time: str, value: str, age_secon
     lies within the age; rows with a null key, time or value are left out, rows
     older than the age at arrival change nothing.
     """
+    ship_package(stream.sparkSession)
     d = stream.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{time}`").cast("timestamp").alias("time"), F.col(f"`{value}`").cast("double").alias("value")).dropna()
     micros = int(age_seconds * 1_000_000)
 
