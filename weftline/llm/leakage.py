@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import ship_package
+
 #: Successive words that make a leak, and edits (changed, missing or added words) allowed among them.
 WINDOW, MOST_EDITS = 20, 4
 #: Random walks, tables per walk, and embedding positions sampled for each table.
@@ -281,6 +283,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     by every task, ITEMS_AT_ONCE at a time; every block searches all texts.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     held = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).dropna().distinct().orderBy("i", "t")
     rows = [(r[0], r[1]) for r in held.collect()]
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id is not null and text is not null")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import parts_for
+from weftline.session import parts_for, ship_package
 
 CAPACITY = 4096
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -127,6 +127,7 @@ def pack_documents(df: DataFrame, doc_id: str, text: str, capacity: int = CAPACI
     with equal or null ids too (their pieces bear the same id).  An empty table
     gives an empty result; other columns are ignored.
     """
+    ship_package(df.sparkSession)
     if workers is None:
         workers = parts_for(df, BYTES_PER_WORKER)
     names = ["doc_id", "piece", "token_start", "n_tokens", "container_id", "place", "token_offset"]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import ensure_checkpoint_dir
+from weftline.session import ensure_checkpoint_dir, ship_package
 
 #: Hashed features of an ending; texts of the training sample (at most about so many); rounds over them.
 BUCKETS, SAMPLE, EPOCHS = 1 << 18, 20_000, 10
@@ -364,6 +364,7 @@ def truncation(docs: DataFrame, doc_id: str, text: str, source: str, sample: int
     else covers every text.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    ship_package(docs.sparkSession)
     n = docs.count()
     seen = evidence(docs, doc_id, text, source, min(1.0, sample / max(1, n))).checkpoint()
     limits = limit_posteriors(seen).checkpoint()  # a few rows per source, used in several places
