@@ -43,7 +43,7 @@ class Reference:
 
 
 def _ts(df: DataFrame, name: str | None) -> Column:
-    return F.lit(None).cast("timestamp") if name is None else F.col(f"`{name}`").cast("timestamp")
+    return F.lit(None).cast("timestamp_ntz") if name is None else F.col(f"`{name}`").cast("timestamp_ntz")
 
 
 def _child(r: Reference) -> DataFrame:
@@ -78,7 +78,7 @@ def key_status(parents: list[ParentTable], references: list[Reference]) -> DataF
         own = _parent(p).select(
             "parent", "k", F.lit(1).alias("is_parent"), F.lit(0).cast("long").alias("n_refs"), "loaded_at", "deleted_at",
             F.when(F.col("deleted_at").isNull(), 1).otherwise(0).alias("alive"),
-            F.lit(None).cast("timestamp").alias("first_seen"), F.lit(None).cast("timestamp").alias("last_event"),
+            F.lit(None).cast("timestamp_ntz").alias("first_seen"), F.lit(None).cast("timestamp_ntz").alias("last_event"),
         )
         tagged = own if tagged is None else tagged.unionByName(own)
     for r in references:
@@ -86,8 +86,8 @@ def key_status(parents: list[ParentTable], references: list[Reference]) -> DataF
             F.count(F.lit(1)).alias("n_refs"), F.min("seen_at").alias("first_seen"), F.max("event_at").alias("last_event")
         )
         own = own.select(
-            "parent", "k", F.lit(0).alias("is_parent"), "n_refs", F.lit(None).cast("timestamp").alias("loaded_at"),
-            F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(0).alias("alive"), "first_seen", "last_event",
+            "parent", "k", F.lit(0).alias("is_parent"), "n_refs", F.lit(None).cast("timestamp_ntz").alias("loaded_at"),
+            F.lit(None).cast("timestamp_ntz").alias("deleted_at"), F.lit(0).alias("alive"), "first_seen", "last_event",
         )
         tagged = tagged.unionByName(own)
     return tagged.groupBy("parent", "k").agg(
