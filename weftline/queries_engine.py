@@ -158,6 +158,16 @@ def project_range_gaps(spark, sf_dir):
     return r.df().select(F.col(ID).alias("quarter_id"), "interval", F.round("total", 4).alias("total"))
 
 
+def project_range_seconds(spark, sf_dir):
+    """All events by second: most seconds have none, so the range itself makes the gaps."""
+    s, t = tables(spark, sf_dir, "events")
+    r = s.create_table("seconds").range(DurationRange(EVENTS_FROM - dt.timedelta(days=1), dt.timedelta(seconds=1), 100_000_000))
+    s.create_column("second", t["events"], r).project("ts")
+    s.create_column("total", r).set_default(0.0).accumulate("second", t["events"], lambda p: Sum(p[0]), "value")
+    s.evaluate()
+    return r.df().select(F.col(ID).alias("second_id"), "interval", F.round("total", 4).alias("total"))
+
+
 def accumulate_customer(spark, sf_dir):
     s, t = sales(spark, sf_dir)
     c, o = t["customer"], t["orders"]
@@ -386,7 +396,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nation_revenue, calc_revenue, calc_path, calc_udf, link_customer, link_missing, link_first_duplicate, link_nullsafe, link_two_keys, link_range_number, link_range_duration, link_range_period,
-        project_distinct, project_where, project_range_gaps, accumulate_customer, accumulate_path, accumulate_of_accumulate, accumulate_retract, accumulate_fold,
+        project_distinct, project_where, project_range_gaps, project_range_seconds, accumulate_customer, accumulate_path, accumulate_of_accumulate, accumulate_retract, accumulate_fold,
         roll_rows, roll_future, roll_weighted, roll_smooth, roll_mean, roll_diff, roll_time, product_all, product_where, range_number, range_duration, range_period, vwap_hourly, tumble_then_roll,
         window_tumbling, window_sessions, stream_totals, retention_count, retention_age, formula_calc, formula_path, formula_fold, semi_anti,
     )
@@ -425,6 +435,9 @@ SQL = {
     "project_range_gaps": """WITH e AS (SELECT event_id, value, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2023-12-31')) / 900000000) AS BIGINT) AS q FROM events WHERE event_id % 97 = 5 AND ts >= TIMESTAMP '2023-12-31'),
         f AS (SELECT q AS first FROM e WHERE q < 100000 ORDER BY event_id LIMIT 1), r AS (SELECT unnest(generate_series((SELECT first FROM f), (SELECT least(max(q), 99999) FROM e))) AS interval)
         SELECT interval - first AS quarter_id, interval, round(coalesce(sum(value), 0), 4) AS total FROM r CROSS JOIN f LEFT JOIN e ON q = interval GROUP BY first, interval""",
+    "project_range_seconds": """WITH e AS (SELECT event_id, value, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2023-12-31')) / 1000000) AS BIGINT) AS q FROM events WHERE ts >= TIMESTAMP '2023-12-31'),
+        f AS (SELECT q AS first FROM e WHERE q < 100000000 ORDER BY event_id LIMIT 1), r AS (SELECT unnest(generate_series((SELECT first FROM f), (SELECT least(max(q), 99999999) FROM e))) AS interval)
+        SELECT interval - first AS second_id, interval, round(coalesce(sum(value), 0), 4) AS total FROM r CROSS JOIN f LEFT JOIN e ON q = interval GROUP BY first, interval""",
     "accumulate_customer": """SELECT c_custkey, round(coalesce(t, 0), 2) AS total, coalesce(k, 0) AS n, coalesce(m, -1) AS largest, round(CASE WHEN k > 0 THEN t / k ELSE 0 END, 4) AS mean
         FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS t, count(*) AS k, max(o_totalprice) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey""",
     "accumulate_path": f"""WITH t AS (SELECT n.n_nationkey AS k, sum(o_totalprice) AS v FROM {_SALES} GROUP BY 1), r AS (SELECT n_regionkey, sum(v) AS rv FROM t JOIN nation ON n_nationkey = k GROUP BY 1)
