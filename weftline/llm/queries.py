@@ -61,6 +61,15 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of products that meet in an order, with how far that exceeds chance; nothing is left out."""
+    got = cooccur.cooccurrence(read_table(spark, sf_dir, "order_items"), "order_id", "product_id")
+    return got.select(
+        F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), F.col("k").alias("orders_both"), F.col("c_a").alias("orders_a"), F.col("c_b").alias("orders_b"),
+        F.round("lift", 4).alias("lift"), F.round("llr", 4).alias("llr"),
+    )
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -93,7 +102,7 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_report(_cuts(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_pairs, p7_packed, p8_found, p8_items, p9_found, p9_sources)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_pairs, p4_all, p7_packed, p8_found, p8_items, p9_found, p9_sources)}
 
 _PAIRS = """
 WITH b AS (SELECT DISTINCT order_id, product_id FROM order_items WHERE order_id IS NOT NULL AND product_id IS NOT NULL),
@@ -108,6 +117,8 @@ _LLR += "".join(" - " + _T.format(f"CAST({x} AS DOUBLE)") for x in ("a", "(n - a
 
 SQL = {
     "p4_found": _PAIRS + "SELECT product_a, product_b FROM j WHERE k >= 12 AND k * n >= 4 * a * b",
+    "p4_all": _PAIRS
+    + f"""SELECT product_a, product_b, k AS orders_both, a AS orders_a, b AS orders_b, round(CAST(k AS DOUBLE) * n / (CAST(a AS DOUBLE) * b), 4) AS lift, round({_LLR}, 4) AS llr FROM j""",
     "p4_pairs": _PAIRS
     + f""", s AS (SELECT *, round({_LLR}, 4) AS llr FROM j)
 SELECT product_a, product_b, k AS orders_both, a AS orders_a, b AS orders_b, round(CAST(k AS DOUBLE) * n / (CAST(a AS DOUBLE) * b), 4) AS lift, llr
