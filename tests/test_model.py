@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from weftline.errors import EngineError
 from weftline.model import Schema
 from weftline.operators.accumulate import Count, Fold, Plain, StreamFold, Sum, accumulate_delta, weighted_average
-from weftline.operators.ids import with_ids
+from weftline.operators.ids import is_dense, nth_id, with_ids
 from weftline.operators.ranges import DurationRange, NumberRange, PeriodRange, range_table
+from weftline.operators.roll import roll
 
 
 @pytest.fixture
@@ -194,9 +195,83 @@ def test_blocks_change_nothing(spark):
 def test_ids(spark):
     df = spark.range(3000, numPartitions=7).select((F.col("id") * 1777 % 3000).alias("k"), F.concat(F.lit("s"), F.col("id")).alias("s"))
     for order in (["k"], ["s"]):
-        rows = with_ids(df, order, start=5, buckets=6).orderBy("_id").collect()
+        rows = with_ids(df, order, start=5).orderBy("_id").collect()
         assert [r["_id"] for r in rows] == list(range(5, 3005)) and [r[order[0]] for r in rows] == sorted(r[order[0]] for r in rows)
-    assert with_ids(df.limit(0), ["k"], buckets=4).count() == 0
+    assert with_ids(df.limit(0), ["k"]).count() == 0
+    same = with_ids(df.select(F.lit(1).alias("k"), F.lit("x").alias("s")), ["k"])  # ties throughout
+    assert sorted(r[0] for r in same.select("_id").collect()) == list(range(3000))
+    gaps = df.select((F.col("k") * 13 + 4).alias("_id"))
+    assert not is_dense(gaps) and is_dense(gaps.limit(1)) and is_dense(gaps.limit(0))
+    assert [nth_id(gaps, n, cuts=16) for n in (0, 1, 777, 2999, 3000)] == [4, 17, 777 * 13 + 4, 2999 * 13 + 4, None]
+
+
+def test_a_table_of_one_row_grows(spark, s):
+    t = s.create_table("T").load(spark.createDataFrame([(7,)], "A int"))
+    assert t.add([{"A": 8}]) == (1, 2) and t.add(spark.createDataFrame([(9,), (10,)], "A int")) == (2, 4)
+    s.evaluate()
+    assert column(t, "_id") == [0, 1, 2, 3] and column(t, "A") == [7, 8, 9, 10]
+
+
+def test_gapped_ids(spark, s):
+    rows = [(i * 10, float(i % 7)) for i in range(50)]
+    t = s.create_table("T").load(spark.createDataFrame(rows, "k long, v double"), id_column="k")
+    s.create_column("n", t).roll(5, 0, "v", how=lambda p: F.count(p[0]))
+    s.evaluate()
+    assert column(t, "n") == [1.0, 2.0, 3.0, 4.0] + [5.0] * 46
+    assert roll(t.data, 5, 0, "n", how=F.count("v"), rows_per_block=100).filter("n < 5").count() == 4
+    assert t.remove(20) == (0, 200)
+    s.evaluate()
+    assert column(t, "_id") == [i * 10 for i in range(20, 50)] and column(t, "n") == [1.0, 2.0, 3.0, 4.0] + [5.0] * 26
+
+
+def test_sums_follow_what_comes_and_goes(spark, s):
+    users = load(s, "Users", [("a",), ("b",), ("c",)], "name string")
+    facts = s.create_table("Facts")
+    s.create_column("who", facts, kind="string")
+    s.create_column("v", facts)
+    s.create_column("user", facts, users).link("who", "name")
+    s.create_column("total", users).set_default(1.0).accumulate("user", facts, lambda p: Sum(p[0]), "v", incremental=True)
+    s.create_column("n", users, kind="bigint").set_default(0).accumulate("user", facts, lambda p: Count(), incremental=True)
+    s.create_column("plain", users).set_default(1.0).accumulate("user", facts, lambda p: Sum(p[0]), "v")
+    facts.add([{"who": w, "v": v} for w, v in (("a", 1.0), ("b", 2.0), ("a", 4.0), ("x", 9.0))])
+    s.evaluate()
+    assert column(users, "total") == [6.0, 3.0, 1.0] and column(users, "n") == [2, 1, 0]
+    facts.remove(1)
+    facts.add([{"who": "c", "v": 8.0}, {"who": "b", "v": 0.5}])
+    s.evaluate()
+    assert column(users, "total") == column(users, "plain") == [5.0, 3.5, 9.0] and column(users, "n") == [1, 2, 1]
+    facts.add([{"who": "a", "v": 100.0}])
+    facts.remove(6)  # the new row comes and goes unseen
+    s.evaluate()
+    assert column(users, "total") == column(users, "plain") == [1.0, 1.0, 1.0]
+    users.set_row(1, {"name": "a"})  # a changed target: everything anew
+    facts.add([{"who": "a", "v": 3.0}])
+    s.evaluate()
+    assert column(users, "total") == column(users, "plain") == [4.0, 1.0, 1.0]
+
+
+def test_products_join_instead_of_crossing(spark, s):
+    a = load(s, "A", [(i % 5, float(i)) for i in range(40)], "x int, y double")
+    b = load(s, "B", [(i % 7,) for i in range(30)], "x int")
+    p = s.create_table("P")
+    s.create_column("a", p, a).noop(True)
+    s.create_column("b", p, b).noop(True)
+    p.product(lambda q: (q("a.x") == q("b.x")) & (q("a.y") > 10))
+    s.evaluate()
+    want = [(i, j) for i in range(11, 40) for j in range(30) if i % 5 == j % 7]
+    assert [(r["a"], r["b"]) for r in p.df().orderBy("_id").collect()] == want and column(p, "_id") == list(range(len(want)))
+
+
+def test_formulas_that_add_are_sums(s):
+    items = load(s, "Items", [(0, 2.0), (0, 3.0), (1, 5.0)], "ord bigint, v double")
+    orders = load(s, "Orders", [(0,), (1,), (2,)], "id bigint")
+    s.create_column("O", items, orders).link("ord", "id")
+    for name, f in (("A", "[out] + 2 * [v]"), ("B", "[v] + [out] - 1"), ("C", "[out] * 2 + [v]"), ("D", "[out] - [v]"), ("E", "[v] - [out]")):
+        s.create_column(name, orders).set_default(1.0).accumulate("O", items, f)
+    s.evaluate()
+    assert [column(orders, c) for c in "ABCDE"] == [[11.0, 11.0, 1.0], [4.0, 5.0, 1.0], [11.0, 7.0, 1.0], [-4.0, -4.0, 1.0], [2.0, 4.0, 1.0]]
+    plan = s.spark._jvm.PythonSQLUtils.explainString(orders.df().select("A", "B", "D")._jdf.queryExecution(), "simple")
+    assert "collect_list" not in plan
 
 
 def test_data_operations(s):

@@ -51,6 +51,30 @@ class Formula:
     def uses_out(self) -> bool:
         return any(len(p) == 1 and p[0].lower() == "out" for p in self.paths)
 
+    def increment(self) -> Formula | None:
+        """What the formula adds to [out], as a formula without it; None unless it does nothing else to [out]."""
+
+        def has_out(t: tuple) -> bool:
+            return t == ("path", t[1]) and len(t[1]) == 1 and t[1][0].lower() == "out" if t[0] == "path" else any(isinstance(x, tuple) and has_out(x) for x in t[1:])
+
+        def rest(t: tuple) -> tuple | None:
+            """The tree without its one [out] in a sum; ("zero",) if nothing is left, None if [out] stands elsewhere."""
+            if t[0] == "path" and has_out(t):
+                return ("zero",)
+            if t[0] in "+-" and len(t) == 3:
+                left, right = has_out(t[1]), has_out(t[2])
+                if left and not right and (a := rest(t[1])) is not None:
+                    return (t[0], ("number", 0.0), t[2]) if a == ("zero",) else (t[0], a, t[2])
+                if right and not left and t[0] == "+" and (b := rest(t[2])) is not None:
+                    return t[1] if b == ("zero",) else ("+", t[1], b)
+            return None
+
+        if self.identity or not self.uses_out():
+            return None
+        tree = rest(self.tree)
+        paths = tuple(p for p in self.paths if not (len(p) == 1 and p[0].lower() == "out"))
+        return None if tree is None or tree == ("zero",) else Formula(self.text, paths, tree, False)
+
     def _leaf(self, path: tuple[str, ...], resolve, out: Column | None) -> Column:
         if len(path) == 1 and path[0].lower() == "out":
             if out is None:

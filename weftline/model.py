@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import EngineError, ErrorCode
 from weftline.functions import formula as formulas
-from weftline.operators.ids import ID, arrival_order, with_ids
+from weftline.operators.ids import ID, arrival_ids, arrival_order, nth_id, with_ids
 from weftline.operators.ranges import Range
 from weftline.session import ship_package
 
@@ -159,19 +159,27 @@ class Column(Element):
         self.define(Definition("project", paths=[as_path(v) for v in values], keys=names))
         return self
 
-    def accumulate(self, group: Path, facts: Table, how: Callable[[list[SparkColumn]], Aggregate] | str, *paths: Path) -> Column:
-        """``how`` gets the parameters of the facts as Columns and returns an aggregate; a formula with [out] is folded in order."""
+    def accumulate(self, group: Path, facts: Table, how: Callable[[list[SparkColumn]], Aggregate] | str, *paths: Path, remover: Callable[[list[SparkColumn]], Aggregate] | None = None, incremental: bool = False) -> Column:
+        """``how`` gets the parameters of the facts as Columns and returns an aggregate; a formula with [out] is folded in order, as a sum where it only adds to [out].
+
+        With ``incremental`` (or a ``remover``, which says what removed facts add;
+        without one they are subtracted) sums and counts are brought up to date
+        from the facts added and removed since the last evaluation.
+        """
         if isinstance(how, str):
             f = formulas.parse(how)
             own = [p for p in f.paths if not (len(p) == 1 and p[0].lower() == "out")]
-            from weftline.operators.accumulate import Fold
+            from weftline.operators.accumulate import Fold, Sum
+
+            step = f.increment()
 
             def fold(ps: list[SparkColumn]) -> Aggregate:
+                if step is not None:
+                    return Sum(step.column(lambda p: ps[own.index(p)]))
                 return Fold(lambda acc, qs: f.column(lambda p: qs[own.index(p)], acc), tuple(ps))
 
-            self.define(Definition("accumulate", group=as_path(group), facts=facts, how=fold, paths=own))
-        else:
-            self.define(Definition("accumulate", group=as_path(group), facts=facts, how=how, paths=[as_path(p) for p in paths]))
+            how, paths = fold, own
+        self.define(Definition("accumulate", group=as_path(group), facts=facts, how=how, paths=[as_path(p) for p in paths], remover=remover, incremental=incremental or remover is not None))
         return self
 
     def roll(self, past: float, future: float, *paths: Path, how: Callable | None = None, step: Callable | None = None, distance: Path | None = None, scale: int = 1) -> Column:
@@ -225,7 +233,8 @@ class Column(Element):
         """One value for all rows, or for those that hold a condition (over ``_id`` and other columns of the table's data)."""
         old = F.col(self.name) if self.name in self.table.data.columns else F.lit(None)
         new = F.lit(value).cast(self.kind)
-        self.table.replace(self.table.data.withColumn(self.name, new if where is None else F.when(where, new).otherwise(old)))
+        self.table.rewrites += 1
+        self.table._change(self.table.data.withColumn(self.name, new if where is None else F.when(where, new).otherwise(old)))
 
 
 class Table(Element):
@@ -239,6 +248,10 @@ class Table(Element):
         self.next_id = 0
         self.removed: tuple[int, int] = (0, 0)
         self.added: tuple[int, int] = (0, 0)
+        self.id_column: str | None = None  # the column that the ids are taken from
+        self.dense: bool | None = None  # whether ids have no gaps; None: not known
+        self.rewrites = 0  # how often data changed otherwise than by adding and removing rows
+        self.gone: DataFrame | None = None  # rows removed since the last evaluation
 
     def __repr__(self) -> str:
         return self.name
@@ -302,9 +315,9 @@ class Table(Element):
         """Take a DataFrame as the table's data.
 
         Ids are those of ``id_column`` (whole numbers that grow in the order of
-        the rows), or dense by ``order_by``, or by the order of the source;
-        without ``dense`` the latter have gaps, which needs no numbering at all
-        and serves everything but rolls by row distance.
+        the rows, none of them twice), or dense by ``order_by``, or by the order of
+        the source; without ``dense`` the latter have gaps, which needs no
+        numbering at all.  Rolls by row distance number gapped ids themselves.
         """
         if id_column is not None:
             data = df.withColumn(ID, F.col(f"`{id_column}`").cast("long"))
@@ -313,44 +326,60 @@ class Table(Element):
         elif not dense:
             data = arrival_order(df, ID)
         else:
-            data = with_ids(arrival_order(df), ["__arrival"]).drop("__arrival")
+            data = arrival_ids(df)
         for f in df.schema.fields:
             if f.name not in [c.name for c in self.columns()]:
                 self.schema.create_column(f.name, self, kind=f.dataType.simpleString())
         self.replace(data)
+        self.id_column = id_column
+        self.dense = True if id_column is None and (order_by or dense) else None
         self.low = self.next_id = 0
         self.added = self.removed = (0, 0)
         return self
 
     def replace(self, df: DataFrame) -> None:
+        """Other data; ids may be any, so whether they are dense is looked up where it matters."""
         self.data, self.version = df, self.schema.tick()
+        self.dense, self.id_column, self.gone = None, None, None
+        self.rewrites += 1
+
+    def _change(self, df: DataFrame) -> None:
+        """Data with rows added, removed or changed in place; ids stay what they are."""
+        self.data, self.version = df, self.schema.tick()
+
+    def evaluated(self) -> None:
+        """Forget what was added and removed; called after every evaluation."""
+        self.added, self.removed, self.gone = (self.added[1], self.added[1]), (self.removed[1], self.removed[1]), None
 
     def add(self, rows: list[dict] | DataFrame) -> tuple[int, int]:
         """Append rows; missing columns get their defaults. Gives the range of the new ids."""
         own = [c for c in self.columns() if not c.is_derived]
         start = self._next()
         if isinstance(rows, DataFrame):
-            new = with_ids(arrival_order(rows), ["__arrival"], start=start).drop("__arrival")
-            n = rows.count()
+            new = arrival_ids(rows, start=start)
+            n = new.count()
         else:
             kinds = ", ".join(f"`{c.name}` {c.kind}" for c in own)
             values = [tuple([start + i, *(r.get(c.name, c.default) for c in own)]) for i, r in enumerate(rows)]
             new, n = self.schema.spark.createDataFrame(values, f"{ID} long" + (", " + kinds if kinds else "")), len(rows)
-        self.replace(new if self.data is None else self.data.unionByName(new, allowMissingColumns=True))
+        if self.data is None:
+            self.dense = True
+        self._change(new if self.data is None else self.data.unionByName(new, allowMissingColumns=True))
         self.next_id = start + n
         self.added = (self.added[0] if self.added[1] > self.added[0] else start, self.next_id)
         return start, self.next_id
 
     def _next(self) -> int:
         if self.next_id == 0 and self.data is not None:
-            self.next_id = (self.data.agg(F.max(ID)).first()[0] or -1) + 1
+            top = self.data.agg(F.max(ID)).first()[0]
+            self.next_id = self.low if top is None else top + 1
         return self.next_id
 
     def remove(self, n: int | None = None) -> tuple[int, int]:
-        """Drop the ``n`` oldest rows (all without ``n``); gives the range of removed ids."""
+        """Drop the ``n`` oldest rows (all without ``n``), whatever gaps the ids have; gives the range of removed ids."""
         first = max(self.low, self.data.agg(F.min(ID)).first()[0] or 0)
-        last = self._next() if n is None else min(self._next(), first + n)
-        return self._cut(first, last)
+        last = None if n is None else nth_id(self.data.filter(F.col(ID) >= first), n)
+        return self._cut(first, self._next() if last is None else last)
 
     def remove_below(self, column: str, threshold: Any) -> int:
         """Drop the leading rows up to the first whose value reaches ``threshold``; gives their number."""
@@ -360,9 +389,12 @@ class Table(Element):
         return self._cut(first, self._next() if reach is None else reach)[1] - first
 
     def _cut(self, first: int, last: int) -> tuple[int, int]:
+        self._next()
         self.low = last
         self.removed = (self.removed[0] if self.removed[1] > self.removed[0] else first, last)
-        self.replace(self.data.filter(F.col(ID) >= last))
+        cut = self.data.filter(F.col(ID) < last)
+        self.gone = cut if self.gone is None else self.gone.unionByName(cut, allowMissingColumns=True)
+        self._change(self.data.filter(F.col(ID) >= last))
         return first, last
 
     def reset(self) -> None:
@@ -412,7 +444,8 @@ class Table(Element):
             kind = self.column(k).kind
             old = F.col(k) if k in data.columns else F.lit(None).cast(kind)
             data = data.withColumn(k, F.when(F.col(ID) == row_id, F.lit(v).cast(kind)).otherwise(old))
-        self.replace(data)
+        self.rewrites += 1
+        self._change(data)
 
 
 class Schema:
@@ -424,6 +457,7 @@ class Schema:
         self.tables: list[Table] = []
         self.columns: list[Column] = []
         self.frames: dict[str, DataFrame] = {}
+        self.states: dict = {}  # what incremental columns were at the last evaluation
         self.clock = 0
         self.evaluated_at = -1
 
@@ -468,7 +502,9 @@ class Schema:
         if element.dependents():
             raise EngineError(ErrorCode.ELEMENT_UPDATE, f"{element} is used by {element.dependents()}")
         if isinstance(element, Column) and element.table.data is not None and element.name in element.table.data.columns:
-            element.table.replace(element.table.data.withColumnRenamed(element.name, name))
+            element.table.rewrites += 1
+            element.table.id_column = name if element.table.id_column == element.name else element.table.id_column
+            element.table._change(element.table.data.withColumnRenamed(element.name, name))
         element.name = name
         element.version = self.tick()
 
@@ -478,7 +514,9 @@ class Schema:
             raise EngineError(ErrorCode.ELEMENT_DELETE, f"{column} is used by {used}")
         self.columns.remove(column)
         if column.table.data is not None and column.name in column.table.data.columns:
-            column.table.replace(column.table.data.drop(column.name))
+            column.table.rewrites += 1
+            column.table.id_column = None if column.table.id_column == column.name else column.table.id_column
+            column.table._change(column.table.data.drop(column.name))
         self.tick()
 
     def delete_table(self, table: Table) -> None:

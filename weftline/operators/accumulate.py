@@ -111,20 +111,41 @@ class StreamFold:
 Aggregate = Sum | Count | Plain | Fold | StreamFold
 
 
-def accumulate(groups: DataFrame, facts: DataFrame, group: Column, how: Aggregate, name: str, default: Any, kind: str = "double", order: str = ID) -> DataFrame:
-    """``groups`` with column ``name``: the aggregate of the facts whose ``group`` is the row's id.
+@dataclass(frozen=True)
+class Wanted:
+    """A column to be accumulated: its name, aggregate, default and type."""
+
+    name: str
+    how: Aggregate
+    default: Any = 0.0
+    kind: str = "double"
+
+
+def accumulate_all(groups: DataFrame, facts: DataFrame, group: Column, wanted: list[Wanted], order: str = ID) -> DataFrame:
+    """``groups`` with a column for each of ``wanted``, over the facts whose ``group`` is the row's id.
 
     Facts with a null or negative group are left out, groups without facts have
-    the default.  Facts are aggregated before they meet the groups.
+    the default.  Facts are aggregated before they meet the groups: in one pass
+    and one join for all aggregates, and one more for every fold.
     """
-    if isinstance(how, (Fold, StreamFold)):
-        parts = how.run(facts, group, order, default, kind)
-        value = F.coalesce("__part", F.lit(default))
-    else:
-        parts = facts.withColumn("__g", group).filter("__g >= 0").groupBy("__g").agg(how.aggregate().alias("__part"))
-        value = how.combine(default, F.col("__part"))
-    kept = groups.drop(name)
-    return kept.join(parts, kept[ID] == parts["__g"], "left").select(*(F.col(f"`{c}`") for c in kept.columns), value.cast(kind).alias(name))
+    names = {w.name for w in wanted}
+    kept = groups.select(*(F.col(f"`{c}`") for c in groups.columns if c not in names))
+    values: dict[str, Column] = {}
+    plain = [w for w in wanted if not isinstance(w.how, (Fold, StreamFold))]
+    if plain:
+        parts = facts.withColumn("__g", group).filter("__g >= 0").groupBy("__g").agg(*(w.how.aggregate().alias(f"__part{i}") for i, w in enumerate(plain)))
+        kept = kept.join(parts, kept[ID] == parts["__g"], "left").drop("__g")
+        values |= {w.name: w.how.combine(w.default, F.col(f"__part{i}")) for i, w in enumerate(plain)}
+    for i, w in enumerate(w for w in wanted if w not in plain):
+        parts = w.how.run(facts, group, order, w.default, w.kind).select(F.col("__g").alias("__fg"), F.col("__part").alias(f"__fold{i}"))
+        kept = kept.join(parts, kept[ID] == parts["__fg"], "left").drop("__fg")
+        values[w.name] = F.coalesce(f"__fold{i}", F.lit(w.default))
+    return kept.select(*(F.col(f"`{c}`") for c in groups.columns if c not in names), *(values[w.name].cast(w.kind).alias(w.name) for w in wanted))
+
+
+def accumulate(groups: DataFrame, facts: DataFrame, group: Column, how: Aggregate, name: str, default: Any, kind: str = "double", order: str = ID) -> DataFrame:
+    """``accumulate_all`` for a single column."""
+    return accumulate_all(groups, facts, group, [Wanted(name, how, default, kind)], order)
 
 
 def accumulate_delta(groups: DataFrame, name: str, group: Column, how: Sum | Count, added: DataFrame | None, removed: DataFrame | None) -> DataFrame:

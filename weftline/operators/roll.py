@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.errors import EngineError, ErrorCode
-from weftline.operators.ids import ID
+from weftline.operators.ids import ID, is_dense, with_ids
 
 #: Positions (rows or units of distance, in multiples of the window) per block.
 ROWS_PER_BLOCK, WINDOWS_PER_BLOCK = 100_000, 200
@@ -47,14 +47,22 @@ def _frame_value(window, position: Column, how: Column | None, step, params: lis
     )
 
 
-def roll(df: DataFrame, past: int, future: int, name: str, how: Column | None = None, step: Callable | None = None, params: list[Column] = (), default: Any = 0.0, kind: str = "double", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Window by row distance over dense ids: ``how`` is one aggregate function, or ``step(acc, distance, params)`` a fold in order of ids."""
+def roll(df: DataFrame, past: int, future: int, name: str, how: Column | None = None, step: Callable | None = None, params: list[Column] = (), default: Any = 0.0, kind: str = "double", rows_per_block: int = ROWS_PER_BLOCK, dense: bool | None = None) -> DataFrame:
+    """Window by row distance: ``how`` is one aggregate function, or ``step(acc, distance, params)`` a fold in order of ids.
+
+    Rows count, not ids: unless ids are known to be ``dense``, gaps are looked
+    for, and where there are any the rows are numbered first.
+    """
     if past < 0 or future < 0 or (how is None) == (step is None):
         raise EngineError(ErrorCode.DEFINITION, "a roll needs sizes of 0 or more and either an aggregate or a step")
-    before, after = max(0, past - 1), future
-    blocks = _blocks(df, F.col(ID), before, after, max(rows_per_block, before + after + 1))
     if past == 0 and future == 0:
         return df.withColumn(name, F.lit(default).cast(kind))
+    before, after = max(0, past - 1), future
+    at = df
+    if not dense and not is_dense(df):
+        params = list(params)
+        at = with_ids(df, [ID], "__row", unique=True)
+    blocks = _blocks(at, F.col("__row" if at is not df else ID), before, after, max(rows_per_block, before + after + 1))
     w = Window.partitionBy("__block").orderBy("__at").rowsBetween(1 - past, future)
     return _finish(df, blocks, _frame_value(w, F.col("__at"), how, step, list(params), default, kind, 1.0), name, default, kind)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import math
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,6 +52,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        if "://" not in place or place.startswith("file:"):
+            shutil.rmtree(place.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the shared checkpoint folder; it is deleted when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/weftline-{purpose}-{uuid.uuid4()}"
+    atexit.register(_delete, spark, place)
+    return place
+
+
+def materialise(df: DataFrame, purpose: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, with a short plan, known size and column pruning.
+
+    What Parquet can't hold (columns without a type, two of one name) is
+    checkpointed instead.
+    """
+    kinds = [f.dataType.simpleString() for f in df.schema.fields]
+    if len({c.lower() for c in df.columns}) < len(df.columns) or any("void" in k or "interval" in k for k in kinds):
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint()
+    place = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 #: Estimates from here on mean that the optimizer knows nothing.
 UNKNOWN_BYTES = 1 << 55
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weftline.errors import EngineError, ErrorCode
 from weftline.model import Schema, Table
+from weftline.operators.ids import ID
 
 Clock = Callable[[], dt.datetime]
 
@@ -54,9 +55,9 @@ def keep_last(table: Table, size: int) -> Action:
     """Keep the newest ``size`` rows; 0 empties the table."""
 
     def run(ctx: Context) -> None:
-        first, last = max(table.low, table.data.agg(F.min("_id")).first()[0] or 0), table._next()
-        if last - first > size:
-            table.remove(last - first - size)
+        n = table.data.filter(F.col(ID) >= table.low).count()
+        if n > size:
+            table.remove(n - size)
 
     return run
 
