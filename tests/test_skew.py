@@ -38,3 +38,14 @@ def test_heavy_keys_counts_nulls_in_the_total(spark):
     df = spark.createDataFrame([(1,)] * 5 + [(None,)] * 4 + [(2,)], "k long")
     assert [(r.k, r.n_rows) for r in heavy_keys(df, "k", 2).collect()] == [(1, 5)]
     assert {r.k for r in heavy_keys(df, "k", 10).collect()} == {1, 2}
+
+
+def test_sums_lose_no_value(spark):
+    rows = [(1, 1e23), (1, 1.0)] + [(2, 1e-7)] * 10 + [(3, 1e300), (3, 1.0)] + [(4, 1e-300)] * 4 + [(5, 1e23), (5, 1.0), (5, -1e23)] + [(6, -0.1)] * 3 + [(7, 5e25), (7, -5e25), (7, 2.0**-40)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(7)
+    got = {r[0]: r[1] for r in tree_aggregate(df, ["k"], [Measure("s", "sum", F.col("v"))], fan_in=2, rounds=3).collect()}
+    assert got == {k: math.fsum(v for j, v in rows if j == k) for k in range(1, 8)}
+    df = spark.range(4000, numPartitions=8).select((F.col("id") % 3).alias("k"), ((F.rand(5) - 0.5) * F.pow(F.lit(10.0), F.rand(6) * 40 - 20)).alias("v"))
+    rows = df.collect()
+    got = {r[0]: r[1] for r in tree_aggregate(spark.createDataFrame(rows), ["k"], [Measure("s", "sum", F.col("v"))], fan_in=2).collect()}
+    assert all(math.isclose(got[k], math.fsum(v for j, v in rows if j == k), rel_tol=1e-15) for k in range(3))

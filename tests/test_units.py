@@ -1,6 +1,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import units as U
 
@@ -37,7 +38,7 @@ def test_packs(text, want):
     ],
 )
 def test_prices(text, source, want):
-    got = U.convert_price(KNOWN, {"north": "EUR", "quay": "cent", "atlantic": "USD", "isles": "GBP"}, text, source)
+    got = U.convert_price(KNOWN, text, {"north": "EUR", "quay": "cent", "atlantic": "USD", "isles": "GBP"}.get(source))
     assert got == (None if want is None else ("cent", want))
 
 
@@ -57,18 +58,39 @@ def test_units_spread_through_the_graph(spark):
     rows += [("lone", "z", 3.0), (None, "e1", 1.0), ("north", None, 1.0), ("north", "e3", None), ("north", "e3", -1.0)]
     df = spark.createDataFrame(rows, "src string, ent string, val double")
     edges = U.source_edges(df, "src", "ent", "val")
-    got = U.spread_units(edges, {"anchor": "EUR"}, KNOWN, "money")
-    assert {s: u for s, (u, _, _) in got.items()} == {"anchor": "EUR", "north": "EUR", "isles": "GBP", "quay": "cent"}
+    got = U.spread_units(edges, "EUR", KNOWN, "money")
+    assert {r.s: r.unit for r in got.collect()} == {"north": "EUR", "isles": "GBP", "quay": "cent"}
+
+
+def test_an_offset_is_no_scale(spark):
+    rows = [("anchor", f"e{i}", 2.0 + i) for i in range(60)] + [("plus", f"e{i}", 2.0 + i + 6) for i in range(60)] + [("same", f"e{i}", (2.0 + i) * (0.97 + 0.02 * (i % 4))) for i in range(60)]
+    edges = U.source_edges(spark.createDataFrame(rows, "src string, ent string, val double"), "src", "ent", "val")
+    offset = {(r.a, r.b): r.offset for r in edges.collect()}
+    assert offset["anchor", "plus"] > 0.1 and abs(offset["anchor", "same"]) < 0.05
+    assert {r.s: r.unit for r in U.spread_units(edges, "EUR", KNOWN, "money").collect()} == {"same": "EUR"}
+
+
+def test_many_sources(spark):
+    """Far more sources than an entity has neighbours, and few links for each pair."""
+    df = spark.range(200 * 30).select((F.col("id") % 200).alias("k"), F.floor(F.col("id") / 200).alias("i"))
+    df = df.select(F.concat(F.lit("s"), "k").alias("src"), F.concat(F.lit("e"), "i").alias("ent"), ((2 + F.col("i") * 0.9) * F.when(F.col("k") % 2 == 0, 100.0).otherwise(1.0)).alias("val"))
+    df = df.unionByName(spark.range(30).select(F.lit("anchor").alias("src"), F.concat(F.lit("e"), "id").alias("ent"), (2 + F.col("id") * 0.9).alias("val")))
+    edges = U.source_edges(df, "src", "ent", "val", 3)
+    assert edges.count() < 200 + 200 * 3 * 30
+    got = {r.s: r.unit for r in U.spread_units(edges, "EUR", KNOWN, "money").collect()}
+    assert got == {f"s{k}": "cent" if k % 2 == 0 else "EUR" for k in range(200)}
 
 
 def test_rows_copies_and_clashing_names(spark):
     rows = [(1, "2 kg", "5.00", "north", "x"), (1, "2 kg", "5.00", "north", "x"), (2, None, None, None, "x"), (3, "assorted", "TBD", "north", "x"), (None, "1 g", "1", "quay", "x")]
     df = spark.createDataFrame(rows, "productid long, quantityperunit string, unitprice string, feed string, amount string")
-    got = U.common_units(df, "productid", "quantityperunit", "unitprice", "feed", KNOWN, {"north": "EUR", "quay": "cent"})
+    units = spark.createDataFrame([("north", "EUR"), ("quay", "cent")], "source string, unit string")
+    got = U.common_units(df, "productid", "quantityperunit", "unitprice", "feed", KNOWN, units)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(
         [(1, "quantityperunit", "g", 2000), (1, "unitprice", "cent", 500), (None, "quantityperunit", "g", 1), (None, "unitprice", "cent", 1)], key=str
     )
-    assert U.common_units(df.limit(0), "productid", "quantityperunit", "unitprice", "feed", KNOWN, {}).count() == 0
+    assert U.common_units(df.limit(0), "productid", "quantityperunit", "unitprice", "feed", KNOWN, units).count() == 0
+    assert U.common_units(df, "productid", "quantityperunit", "unitprice", "feed", KNOWN, units.limit(0)).count() == 2
 
 
 def test_name_key(spark):

@@ -12,16 +12,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import ship_package
+from weftline.session import materialise, ship_package
 
 #: Spellings of the units, by the name they have in the table of units (lower case, final dots removed).
 SPELLINGS = {
@@ -41,8 +39,16 @@ SPELLINGS = {
 MONEY = {"EUR": "eur euro euros €", "USD": "usd us$ $ dollar dollars", "GBP": "gbp £ sterling", "cent": "c ct cts cent cents ¢"}
 NUMBER_WORDS = {w: i for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split(), 1)}
 FRACTIONS = {"½": "1/2", "¼": "1/4", "¾": "3/4", "⅓": "1/3", "⅔": "2/3", "⅛": "1/8"}
-#: Sizes of the tables of units and sources that the driver may hold.
-MOST_UNITS, MOST_SOURCES = 10_000, 2_000
+#: Size of the table of units that the driver may hold.
+MOST_UNITS = 10_000
+#: Every source of a thing is held against the anchor and against so many others, in an order that differs from thing to thing.
+NEIGHBOURS = 8
+#: What is known of the spread of a pair of sources before seeing any link, and how many links that is worth.
+PRIOR_SPREAD, PRIOR_LINKS = 0.1, 2
+#: An offset speaks against a mere scale beyond so many standard errors of what the line leaves, and more where there are fewer links than this.
+OFFSET_ERRORS, OFFSET_LINKS = 8.0, 15
+#: A unit is taken if its logarithm lies within this of the estimate, and the next one is farther off by so many standard errors.
+TOLERANCE, CLEAR = 0.25, 2.0
 
 _UNIT = {s: u for u, spelled in SPELLINGS.items() for s in spelled.split()}
 _MONEY = {s: u for u, spelled in MONEY.items() for s in spelled.split()}
@@ -150,75 +156,92 @@ def known_units(measure_units: DataFrame) -> dict[str, tuple[str, str, Decimal]]
     return {r[0]: (r[1], r[2], Decimal(repr(r[3]))) for r in rows}
 
 
-@dataclass(frozen=True)
-class Edge:
-    """What one pair of sources tells: values of ``b`` are about ``scale`` times those of ``a`` plus ``offset``."""
+ANCHOR = "anchor"
 
-    a: str
-    b: str
-    n: int
-    scale: float
-    spread: float
-    offset: float
 
+def source_edges(values: DataFrame, source: str, entity: str, value: str, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``(a, b, n, ratio, offset, var)``: robust scale (as a logarithm) and offset of pairs of sources that record the same entities.
 
-def source_edges(values: DataFrame, source: str, entity: str, value: str) -> list[Edge]:
-    """Robust scale and offset of every pair of sources that record the same entities.
-
-    ``values`` is first brought to one row (the median) per source and entity, so
-    an entity is joined with itself over as many rows as there are sources.
-    Scale is the median ratio, spread the median deviation of its logarithm,
-    offset the median of what the scale leaves.  One row per pair of sources
-    comes to the driver; more than MOST_SOURCES pairs raise.
+    ``values`` is first brought to one row (the median) per source and entity.
+    The sources of an entity are put in an order that depends on the entity and
+    each is paired with the anchor and the next few, so the work grows with the
+    values and not with the square of the sources; over all entities any two
+    sources can meet.  The ratio is the median of logarithms.  The offset, as a
+    share of the values, is that of the resistant line through the medians of the
+    lowest and the highest third.  ``var`` is the variance of the ratio: from the
+    median deviation, held against a prior spread where links are few, and what
+    an offset beyond its own error says against a mere scale.
     """
     v = (
         values.select(F.col(f"`{source}`").cast("string").alias("s"), F.col(f"`{entity}`").alias("e"), F.col(f"`{value}`").cast("double").alias("v"))
-        .filter("s is not null and e is not null and v > 0")
+        .filter("s is not null and e is not null and v > 0 and v < 1e300")
         .groupBy("s", "e")
         .agg(F.percentile_approx("v", 0.5, 1000).alias("v"))
     )
-    pairs = v.alias("x").join(v.alias("y"), F.col("x.e") == F.col("y.e")).filter("x.s < y.s").select(
-        F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.v").alias("va"), F.col("y.v").alias("vb"), F.ln(F.col("y.v") / F.col("x.v")).alias("r")
-    )
-    mid = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("r", 0.5, 1000).alias("mid"))
+    # the anchor first, the others by a hash; a list is as long as there are sources
+    lists = v.groupBy("e").agg(F.sort_array(F.collect_list(F.struct((F.col("s") != ANCHOR).alias("o"), F.xxhash64("e", "s").alias("h"), "s", "v"))).alias("l")).filter(F.size("l") > 1)
+    at = lists.select("l", F.posexplode("l").alias("i", "x"))
+    others = F.slice("l", F.col("i") + 2, F.when((F.col("i") == 0) & ~F.col("x.o"), F.size("l")).otherwise(neighbours))
+    pairs = at.select("x", F.explode(others).alias("y"))
+    swap = F.col("x.s") > F.col("y.s")
+    a, b = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
+    pairs = pairs.select(a.alias("x"), b.alias("y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.v").alias("va"), F.col("y.v").alias("vb"), F.ln(F.col("y.v") / F.col("x.v")).alias("r"))
+    pairs = materialise(pairs, "links")
+    mid = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("r", 0.5, 1000).alias("ratio"), F.percentile_approx("va", [1 / 3, 2 / 3], 1000).alias("thirds"))
+    low, high = F.col("va") <= F.col("thirds")[0], F.col("va") >= F.col("thirds")[1]
+
+    def median(x: Column) -> Column:
+        return F.percentile_approx(x, 0.5, 1000)
+
     rest = pairs.join(mid, ["a", "b"]).groupBy("a", "b").agg(
-        F.first("n").alias("n"), F.first("mid").alias("mid"),
-        F.percentile_approx(F.abs(F.col("r") - F.col("mid")), 0.5, 1000).alias("spread"),
-        F.percentile_approx(F.col("vb") - F.exp("mid") * F.col("va"), 0.5, 1000).alias("offset"),
+        F.first("n").alias("n"), F.first("ratio").alias("ratio"), median(F.abs(F.col("r") - F.col("ratio"))).alias("spread"),
+        median(F.when(low, F.col("va"))).alias("x1"), median(F.when(low, F.col("vb"))).alias("y1"), median(F.when(high, F.col("va"))).alias("x2"), median(F.when(high, F.col("vb"))).alias("y2"),
     )
-    rows = rest.limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} pairs of sources")
-    return [Edge(r["a"], r["b"], r["n"], math.exp(r["mid"]), r["spread"], r["offset"]) for r in rows]
+    # without a spread of values there is no line: the scale alone
+    slope = F.when(F.col("x2") > F.col("x1"), (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).otherwise(F.exp("ratio"))
+    line = rest.select("a", "b", "n", "ratio", "spread", slope.alias("slope"))
+    left = F.col("vb") - F.col("slope") * F.col("va")
+    lines = pairs.join(line, ["a", "b"]).groupBy("a", "b").agg(
+        F.first("n").alias("n"), F.first("ratio").alias("ratio"), F.first("spread").alias("spread"), F.percentile_approx(left, [0.25, 0.5, 0.75], 1000).alias("left"), median(F.col("vb")).alias("usual")
+    )
+
+    def error(spread: Column) -> Column:
+        """Standard error of a median of n values by their median deviation, few of them held against what is known before."""
+        return 1.86 * F.sqrt((F.col("n") * F.pow(spread, F.lit(2)) + PRIOR_LINKS * PRIOR_SPREAD**2) / (F.col("n") + PRIOR_LINKS) / F.col("n"))
+
+    offset = F.col("left")[1] / F.col("usual")
+    beyond = F.greatest(F.lit(0.0), F.abs(offset) - OFFSET_ERRORS * (1 + OFFSET_LINKS / F.col("n")) * error((F.col("left")[2] - F.col("left")[0]) / 2 / F.col("usual")))
+    return lines.select("a", "b", "n", "ratio", offset.alias("offset"), (F.pow(error(F.col("spread")), F.lit(2)) + F.pow(beyond, F.lit(2))).alias("var"))
 
 
-def spread_units(edges: list[Edge], anchors: dict[str, str], units: dict[str, tuple[str, str, Decimal]], kind: str, least_links: int = 5, tolerance: float = 0.25) -> dict[str, tuple[str, int, float]]:
-    """source -> (unit, links, log distance from the known ratio), spread from ``anchors`` along the best-supported edges.
+def spread_units(edges: DataFrame, anchor_unit: str, units: dict[str, tuple[str, str, Decimal]], kind: str) -> DataFrame:
+    """``(s, unit, n, distance)`` of every source whose unit the graph tells, spread from the anchor.
 
-    An edge counts if it has ``least_links`` linked entities; its scale is
-    snapped to the known ratio nearest in logarithm, if within ``tolerance``.
+    In every round the sources that known ones lead to get the mean of what their
+    edges say, weighed by the inverse of the variance along the way; it is
+    snapped to the known unit nearest in logarithm.  A source whose evidence
+    doesn't set the nearest unit clearly apart from the next stays open and may
+    be decided in a later round.  Edges and units of sources stay in tables; a
+    round is a join.
     """
-    factors = {u: float(f) for u, (k, _, f) in units.items() if k == kind}
-    near: dict[str, list[tuple[int, str, float]]] = {}
-    for e in edges:
-        if e.n >= least_links:
-            near.setdefault(e.a, []).append((e.n, e.b, e.scale))
-            near.setdefault(e.b, []).append((e.n, e.a, 1 / e.scale))
-    found = {s: (u, 0, 0.0) for s, u in anchors.items() if u in factors}
-    queue = deque(sorted(found))
-    while queue:
-        s = queue.popleft()
-        for n, other, scale in sorted(near.get(s, []), reverse=True):
-            if other in found:
-                continue
-            # values of other = scale * values of s, so one unit of other is 1/scale of a unit of s
-            want = math.log(factors[found[s][0]] / scale)
-            unit = min(factors, key=lambda u: (abs(math.log(factors[u]) - want), u))
-            off = abs(math.log(factors[unit]) - want)
-            if off <= tolerance:
-                found[other] = (unit, n, off)
-                queue.append(other)
-    return found
+    spark = edges.sparkSession
+    factors = {u: math.log(float(f)) for u, (k, _, f) in units.items() if k == kind}
+    both = materialise(edges.select("a", "b", "n", "ratio", "var").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", (-F.col("ratio")).alias("ratio"), "var")), "edges")
+    known = spark.createDataFrame([(ANCHOR, anchor_unit, factors[anchor_unit], 0.0, 0, 0.0)], "s string, unit string, log double, var double, n long, distance double")
+    while True:
+        reached = known.select(F.col("s").alias("a"), "log", F.col("var").alias("var0")).join(both, "a").join(known.select(F.col("s").alias("b")), "b", "left_anti")
+        # values of b = scale * values of a, so one unit of b is 1/scale of a unit of a
+        weight = 1 / (F.col("var") + F.col("var0"))
+        told = reached.groupBy("b").agg((F.sum((F.col("log") - F.col("ratio")) * weight) / F.sum(weight)).alias("want"), (1 / F.sum(weight)).alias("var"), F.sum("n").alias("n"))
+        near = F.sort_array(F.array(*(F.struct(F.abs(F.lit(x) - F.col("want")).alias("d"), F.lit(u).alias("unit"), F.lit(x).alias("log")) for u, x in sorted(factors.items()))))
+        told = told.withColumn("near", near).filter(F.col("near")[0]["d"] <= TOLERANCE)
+        if len(factors) > 1:
+            told = told.filter(F.col("near")[1]["d"] - F.col("near")[0]["d"] >= CLEAR * F.sqrt("var"))
+        new = told.select(F.col("b").alias("s"), F.col("near")[0]["unit"].alias("unit"), F.col("near")[0]["log"].alias("log"), "var", "n", F.col("near")[0]["d"].alias("distance"))
+        grown = materialise(known.unionByName(new), "sources")
+        if grown.count() == known.count():
+            return known.filter(F.col("s") != ANCHOR).select("s", "unit", "n", "distance")
+        known = grown
 
 
 def name_key(name: Column) -> Column:
@@ -230,21 +253,24 @@ def name_key(name: Column) -> Column:
     return F.when(F.size(words) > 0, F.array_join(F.array_sort(words), " "))
 
 
-def price_sources(prices: DataFrame, source: str, price: str, name: str, anchor: DataFrame, anchor_price: str, anchor_name: str, anchor_unit: str, units: dict) -> dict[str, tuple[str, int, float]]:
-    """The unit of bare prices in every source, from the graph of sources anchored at a table with a known unit."""
+def price_sources(prices: DataFrame, source: str, price: str, name: str, anchor: DataFrame, anchor_price: str, anchor_name: str, anchor_unit: str, units: dict) -> DataFrame:
+    """``(source, unit, n_links, distance)``: the unit of bare prices in every source, from the graph of sources anchored at a table with a known unit."""
     bare = F.col("p").rlike(r"^\s*[0-9]+([.,][0-9]{2})?\s*$")
     p = prices.select(F.concat(F.lit("source:"), F.col(f"`{source}`").cast("string")).alias("s"), F.col(f"`{price}`").cast("string").alias("p"), name_key(F.col(f"`{name}`")).alias("e")).filter(bare)
     p = p.select("s", "e", F.translate(F.trim("p"), ",", ".").try_cast("double").alias("v"))
-    a = anchor.select(F.lit("anchor").alias("s"), name_key(F.col(f"`{anchor_name}`")).alias("e"), F.col(f"`{anchor_price}`").cast("double").alias("v"))
-    found = spread_units(source_edges(p.unionByName(a), "s", "e", "v"), {"anchor": anchor_unit}, units, "money")
-    return {s.removeprefix("source:"): got for s, got in found.items() if s.startswith("source:")}
+    a = anchor.select(F.lit(ANCHOR).alias("s"), name_key(F.col(f"`{anchor_name}`")).alias("e"), F.col(f"`{anchor_price}`").cast("double").alias("v"))
+    found = spread_units(source_edges(p.unionByName(a), "s", "e", "v"), anchor_unit, units, "money")
+    return found.select(F.regexp_replace("s", "^source:", "").alias("source"), "unit", F.col("n").alias("n_links"), "distance")
 
 
-def declared_sources(feeds: DataFrame, source: str, unit: str) -> dict[str, str]:
-    rows = feeds.select(source, unit).dropna().limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    return {r[0]: r[1] for r in rows}
+def declared_sources(feeds: DataFrame, source: str, unit: str) -> DataFrame:
+    """``(source, declared)``: one row per source that says what its bare numbers mean; of several the first in order of the alphabet."""
+    return feeds.select(F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{unit}`").alias("declared")).dropna().groupBy("source").agg(F.min("declared").alias("declared"))
+
+
+def source_units(estimated: DataFrame, declared: DataFrame) -> DataFrame:
+    """``(source, unit)``: what the graph says; a source that it leaves open has the unit declared."""
+    return estimated.select("source", "unit").join(declared, "source", "full").select("source", F.coalesce("unit", "declared").alias("unit"))
 
 
 def convert_pack(units: dict, text: str | None) -> tuple[str, int] | None:
@@ -255,38 +281,48 @@ def convert_pack(units: dict, text: str | None) -> tuple[str, int] | None:
     return (units[parts[0][0]][1], half_up(total)) if total < 1 << 62 else None
 
 
-def convert_price(units: dict, by_source: dict[str, str], text: str | None, source: str | None) -> tuple[str, int] | None:
+def convert_price(units: dict, text: str | None, bare_unit: str | None) -> tuple[str, int] | None:
     got = read_price(text)
     if got is None:
         return None
-    unit = got[0] or by_source.get(source)
+    unit = got[0] or bare_unit
     if unit not in units:
         return None
     total = got[1] * units[unit][2]
     return (units[unit][1], half_up(total)) if total < 1 << 62 else None
 
 
-def common_units(df: DataFrame, row_id: str, pack: str, price: str, source: str, units: dict, by_source: dict[str, str]) -> DataFrame:
+def each_text_once(convert, *columns: pd.Series) -> list:
+    """``convert`` of the rows of some columns, called once for every different row."""
+    rows = pd.MultiIndex.from_arrays(columns) if len(columns) > 1 else pd.Index(columns[0])
+    codes, different = pd.factorize(rows, use_na_sentinel=False)
+    plain = [tuple(None if not isinstance(x, str) else x for x in (r if isinstance(r, tuple) else (r,))) for r in different]
+    got = [convert(*r) for r in plain]
+    return [got[k] for k in codes]
+
+
+def common_units(df: DataFrame, row_id: str, pack: str, price: str, source: str, units: dict, sources: DataFrame) -> DataFrame:
     """``(row_id, field_name, base_unit, amount)``: every readable pack and price in its base unit.
 
-    Amounts are rounded half up.  Nulls, texts without a number, unknown units,
-    and bare numbers of a source without a unit give no row; copies of a row
-    give one.  Other columns of ``df`` are ignored.
+    ``sources`` has the unit of bare prices by source.  Amounts are rounded half
+    up.  Nulls, texts without a number, unknown units, and bare numbers of a
+    source without a unit give no row; copies of a row give one.  Other columns
+    of ``df`` are ignored.
     """
     ship_package(df.sparkSession)
     d = df.select(
         F.col(f"`{row_id}`").cast("long").alias("row_id"), F.col(f"`{pack}`").cast("string").alias("pack"),
         F.col(f"`{price}`").cast("string").alias("price"), F.col(f"`{source}`").cast("string").alias("source"),
-    ).distinct()
+    )
+    # a number of parts that is set stays; reading texts is too dear to be left to one task
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.join(sources.select("source", "unit"), "source", "left").select("row_id", "pack", "price", "unit").repartition(parts, "row_id", "pack", "price", "unit").distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for i, text, cost, src in zip(f["row_id"], f["pack"], f["price"], f["source"]):
-                if (got := convert_pack(units, text)) is not None:
-                    out.append((i, pack, *got))
-                if (got := convert_price(units, by_source, cost, src)) is not None:
-                    out.append((i, price, *got))
+            packs = each_text_once(lambda t: convert_pack(units, t), f["pack"])
+            costs = each_text_once(lambda t, u: convert_price(units, t, u), f["price"], f["unit"])
+            out = [(i, name, *got) for name, column in ((pack, packs), (price, costs)) for i, got in zip(f["row_id"], column) if got is not None]
             yield pd.DataFrame(out, columns=["row_id", "field_name", "base_unit", "amount"])
 
     return d.mapInPandas(run, "row_id long, field_name string, base_unit string, amount long").distinct().withColumnRenamed("row_id", row_id)

@@ -14,14 +14,21 @@ HEAVY_PARTS = 40
 
 def p1_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = skew.product_totals(read_table(spark, sf_dir, "order_items"))
-    return got.select("product_id", "n_rows", F.col("total_quantity").cast("double").alias("total_quantity"), F.col("revenue").cast("double").alias("revenue"))
+    return got.select("product_id", "n_rows", F.round("total_quantity", 4).alias("total_quantity"), F.round("revenue", 4).alias("revenue"))
+
+
+def p1_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of very large and of very small values of every product, brought back to their scale at the end."""
+    items = read_table(spark, sf_dir, "order_items")
+    got = skew.tree_aggregate(items, ["product_id"], [skew.Measure("large", "sum", F.col("quantity") * 1e23), skew.Measure("small", "sum", F.col("unit_price") * 1e-7)])
+    return got.select("product_id", F.round(F.col("large") / 1e23, 4).alias("large"), F.round(F.col("small") / 1e-7, 4).alias("small"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.heavy_keys(read_table(spark, sf_dir, "order_items"), "product_id", HEAVY_PARTS).select("product_id")
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> tuple[dict, dict, dict]:
+def _sources(spark: SparkSession, sf_dir: str) -> tuple[dict, DataFrame, DataFrame]:
     """Known units, declared and estimated units of the feeds."""
     known = units.known_units(read_table(spark, sf_dir, "measure_units"))
     estimated = units.price_sources(
@@ -32,17 +39,25 @@ def _sources(spark: SparkSession, sf_dir: str) -> tuple[dict, dict, dict]:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated units serve every feed; where a feed declares its unit, the declaration has the last word."""
+    """The graph of sources decides the unit of every feed's bare prices; a feed that it leaves open has the unit declared."""
+    known, declared, estimated = _sources(spark, sf_dir)
+    return units.common_units(read_table(spark, sf_dir, "ds2_products"), "productid", "quantityperunit", "unitprice", "feed", known, units.source_units(estimated, declared))
+
+
+def p3_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_found without any declaration: what differs from the units declared."""
     known, declared, estimated = _sources(spark, sf_dir)
-    by_source = {s: u for s, (u, _, _) in estimated.items()} | declared
-    return units.common_units(read_table(spark, sf_dir, "ds2_products"), "productid", "quantityperunit", "unitprice", "feed", known, by_source)
+    ds2 = read_table(spark, sf_dir, "ds2_products")
+    alone = units.common_units(ds2, "productid", "quantityperunit", "unitprice", "feed", known, estimated)
+    said = units.common_units(ds2, "productid", "quantityperunit", "unitprice", "feed", known, declared.withColumnRenamed("declared", "unit"))
+    return alone.exceptAll(said).unionByName(said.exceptAll(alone))
 
 
 def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the graph of sources says of every feed's bare prices, beside what the feed declares."""
     _, declared, estimated = _sources(spark, sf_dir)
-    rows = [(s, declared.get(s), *estimated.get(s, (None, 0, None))) for s in sorted({*declared, *estimated})]
-    return spark.createDataFrame(rows, "feed string, declared_unit string, estimated_unit string, n_links long, log_distance double")
+    got = declared.join(estimated, "source", "full")
+    return got.select(F.col("source").alias("feed"), F.col("declared").alias("declared_unit"), F.col("unit").alias("estimated_unit"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("distance").alias("log_distance"))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> tuple[list, list]:
@@ -97,7 +112,7 @@ def p6_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir, "categories.csv").filter("reason is null").select("line_id", *CATEGORY_FILE.names)
 
 
-QUERIES = {f.__name__: f for f in (p1_products, p1_found, p3_found, p3_sources, p5_found, p5_report, p5_missing, p6_found, p6_products, p6_categories)}
+QUERIES = {f.__name__: f for f in (p1_products, p1_found, p1_extremes, p3_found, p3_undeclared, p3_sources, p5_found, p5_report, p5_missing, p6_found, p6_products, p6_categories)}
 
 _F = r'("(?:[^"]|"")*"|[^",]*)'
 _ORPHANS = """
@@ -135,9 +150,12 @@ cr AS (SELECT *, CASE WHEN NOT q THEN 'quoting' WHEN NOT n THEN 'columns' WHEN N
 
 SQL = {
     "p1_products": """
-SELECT product_id, count(*) AS n_rows, CAST(sum(CAST(quantity AS DECIMAL(28,6))) AS DOUBLE) AS total_quantity, CAST(sum(CAST(quantity * unit_price AS DECIMAL(28,6))) AS DOUBLE) AS revenue
+SELECT product_id, count(*) AS n_rows, round(fsum(quantity), 4) AS total_quantity, round(fsum(quantity * unit_price), 4) AS revenue
 FROM order_items GROUP BY product_id""",
+    "p1_extremes": """
+SELECT product_id, round(fsum(quantity * 1e23) / 1e23, 4) AS large, round(fsum(unit_price * 1e-7) / 1e-7, 4) AS small FROM order_items GROUP BY product_id""",
     "p1_found": "SELECT product_id FROM order_items GROUP BY product_id HAVING product_id IS NOT NULL AND count(*) * 40 >= (SELECT count(*) FROM order_items)",
+    "p3_undeclared": "SELECT productid, unitprice AS field_name, unitprice AS base_unit, CAST(0 AS BIGINT) AS amount FROM ds2_products WHERE false",
     "p5_found": _ORPHANS + "SELECT DISTINCT src_table, row_id, kind FROM k WHERE kind IS NOT NULL",
     "p5_report": _ORPHANS + """, u AS (SELECT DISTINCT src_table, row_id, kind, period, key FROM k WHERE kind IS NOT NULL)
 SELECT src_table, period, kind, count(*) AS n_rows, count(DISTINCT key) AS n_keys FROM u GROUP BY src_table, period, kind""",
