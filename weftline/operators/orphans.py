@@ -4,7 +4,9 @@ Parent and child keys are put in one long form, tagged, and grouped by parent
 table and key; child keys are pre-aggregated before that, so a hot key costs one
 row per input split.  A group tells whether the key exists and whether any of
 its references can be late or deleted at all; only the rows of such *suspect*
-keys are looked at one by one.
+keys are looked at one by one.  The suspects are written down first: where they
+are few, they go to the rows, which then aren't shuffled at all; where they are
+many, rows and suspects meet by key, hot keys in slices.
 """
 
 from __future__ import annotations
@@ -14,8 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Slices into which the rows of every suspect key are spread before they meet the key's status.
-SALTS = 16
+from weftline.session import materialise
+
+#: Suspect keys up to this many go to the rows (about 100 bytes each); beyond, rows and keys are shuffled.
+MOST_SENT = 200_000
+#: References to a suspect key that make one slice of it when rows are shuffled.
+ROWS_PER_SLICE = 1_000_000
+#: A key with one in so many of all references is hot, so there are at most so many hot keys.
+HOT_SHARE = 1_000
 
 
 @dataclass(frozen=True)
@@ -97,7 +105,7 @@ def key_status(parents: list[ParentTable], references: list[Reference]) -> DataF
     ).filter(F.col("n_refs") > 0)
 
 
-def orphan_rows(parents: list[ParentTable], references: list[Reference], salts: int = SALTS) -> DataFrame:
+def orphan_rows(parents: list[ParentTable], references: list[Reference], most_sent: int = MOST_SENT, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Every distinct ``(src_table, row_id, kind, period)`` whose reference leads to no live parent row.
 
     ``kind`` is ``missing`` if the key is in no parent row, else ``late`` if the
@@ -111,12 +119,16 @@ def orphan_rows(parents: list[ParentTable], references: list[Reference], salts:
     status = key_status(parents, references)
     suspects = status.filter(
         (F.col("is_parent") == 0) | (F.col("first_seen") < F.col("loaded_at")) | (F.col("last_event") >= F.col("deleted_at"))
-    ).select("parent", "k", "is_parent", "loaded_at", "deleted_at", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    ).select("parent", "k", "is_parent", "n_refs", "loaded_at", "deleted_at")
+    suspects = materialise(suspects, "suspects")
     rows = None
     for r in references:
         own = _child(r)
         rows = own if rows is None else rows.unionByName(own)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id", "seen_at"), F.lit(salts)).cast("int"))
+    if suspects.count() <= most_sent:
+        met = rows.join(F.broadcast(suspects), ["parent", "k"])
+    else:
+        met = _by_slices(rows, suspects, rows_per_slice)
     kind = (
         F.when(F.col("is_parent") == 0, "missing")
         .when(F.col("loaded_at") > F.col("seen_at"), "late")
@@ -124,13 +136,25 @@ def orphan_rows(parents: list[ParentTable], references: list[Reference], salts:
     )
     period = F.date_format(F.coalesce("event_at", "seen_at"), "yyyy-MM")
     return (
-        rows.join(suspects, ["parent", "k", "salt"])
-        .select("src_table", "row_id", kind.alias("kind"), period.alias("period"), F.col("k").alias("key"))
+        met.select("src_table", "row_id", kind.alias("kind"), period.alias("period"), F.col("k").alias("key"))
         .filter(F.col("kind").isNotNull())
         .dropDuplicates(["src_table", "row_id", "kind", "period", "key"])
     )
 
 
+def _by_slices(rows: DataFrame, suspects: DataFrame, rows_per_slice: int) -> DataFrame:
+    """The rows of suspect keys with the keys' status; a hot key is cut into as many slices as its references ask for."""
+    slices = F.ceil(F.col("n_refs") / rows_per_slice).cast("int")
+    total = suspects.agg(F.sum("n_refs")).first()[0] or 0
+    # no more than HOT_SHARE keys can hold one in HOT_SHARE of the references each
+    hot = suspects.filter((F.col("n_refs") * HOT_SHARE >= total) & (slices > 1)).select("parent", "k", slices.alias("slices"))
+    spread = rows.join(F.broadcast(hot), ["parent", "k"], "left")
+    spread = spread.withColumn("slice", F.when(F.col("slices") > 1, F.pmod(F.xxhash64("row_id", "seen_at", "event_at", F.spark_partition_id()), F.col("slices")).cast("int")).otherwise(0)).drop("slices")
+    per_key = suspects.withColumn("slices", F.when((F.col("n_refs") * HOT_SHARE >= total) & (slices > 1), slices).otherwise(1))
+    cut = per_key.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "n_refs")
+    return spread.join(cut, ["parent", "k", "slice"])
+
+
 def missing_by_period(parents: list[ParentTable], references: list[Reference]) -> DataFrame:
     """Stored rows and distinct keys without any parent row, per referring table and month.
 

@@ -99,8 +99,8 @@ def _records(spark: SparkSession, sf_dir: str, file: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = [_records(spark, sf_dir, f).filter("reason is not null").select("line_id", "reason") for f in FILES]
-    return bad[0].unionByName(bad[1])
+    """Records that don't load, of both files in one pass; those of any other file have the reason ``file``."""
+    return badrows.failed_records(read_table(spark, sf_dir, "raw_lines"), FILES, "file_name", "raw_text", ["line_id"]).select("line_id", "reason")
 
 
 def p6_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +135,7 @@ def _field(n: int, k: int) -> str:
     return f"(CASE WHEN starts_with({raw}, '\"') THEN replace(substr({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END)"
 
 
+_BLANKS = badrows.BLANK.removeprefix("\\A").removesuffix("\\z")
 _QUOTED = f"regexp_full_match(raw_text, '{_F}(,{_F})*')"
 _PRODUCT_COLS = ", ".join(f"{_field(9, i + 1)} AS f{i}" for i in range(9))
 _CATEGORY_COLS = ", ".join(f"{_field(3, i + 1)} AS f{i}" for i in range(3))
@@ -142,9 +143,9 @@ _PARSED = f"""
 WITH p AS (SELECT line_id, {_QUOTED} AS q, regexp_full_match(raw_text, '{",".join([_F] * 9)}') AS n, {_PRODUCT_COLS} FROM raw_lines WHERE file_name = 'products.csv'),
 c AS (SELECT line_id, {_QUOTED} AS q, regexp_full_match(raw_text, '{",".join([_F] * 3)}') AS n, {_CATEGORY_COLS} FROM raw_lines WHERE file_name = 'categories.csv'),
 pr AS (SELECT *, CASE WHEN NOT q THEN 'quoting' WHEN NOT n THEN 'columns' WHEN NOT (regexp_full_match(f0, '[0-9]+') AND regexp_full_match(f2, '[0-9]+') AND regexp_full_match(f5, '[0-9]+')
-   AND regexp_full_match(f4, '[0-9]+([.][0-9]+)?') AND regexp_full_match(f6, '[0-9]*') AND regexp_full_match(f7, '[0-9]*') AND NOT regexp_full_match(f1, '\\s*') AND f8 IN ('WAHR', 'FALSCH')
-   AND NOT regexp_full_match(f3, '\\s*') AND regexp_matches(f3, '[0-9]') AND NOT regexp_matches(f3, '[\\x00-\\x1f\\x7f-\\x9f\\x{{fffd}}]')) THEN 'value' END AS reason FROM p),
-cr AS (SELECT *, CASE WHEN NOT q THEN 'quoting' WHEN NOT n THEN 'columns' WHEN NOT (regexp_full_match(f0, '[0-9]+') AND NOT regexp_full_match(f1, '\\s*') AND NOT regexp_full_match(f2, '\\s*')
+   AND regexp_full_match(f4, '[0-9]+([.][0-9]+)?') AND regexp_full_match(f6, '[0-9]*') AND regexp_full_match(f7, '[0-9]*') AND NOT regexp_full_match(f1, '{_BLANKS}') AND f8 IN ('WAHR', 'FALSCH')
+   AND NOT regexp_full_match(f3, '{_BLANKS}') AND regexp_matches(f3, '[0-9]') AND NOT regexp_matches(f3, '[\\x00-\\x1f\\x7f-\\x9f\\x{{fffd}}]')) THEN 'value' END AS reason FROM p),
+cr AS (SELECT *, CASE WHEN NOT q THEN 'quoting' WHEN NOT n THEN 'columns' WHEN NOT (regexp_full_match(f0, '[0-9]+') AND NOT regexp_full_match(f1, '{_BLANKS}') AND NOT regexp_full_match(f2, '{_BLANKS}')
    AND NOT regexp_matches(f2, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\x{{fffd}}]')) THEN 'value' END AS reason FROM c)
 """
 
@@ -160,7 +161,7 @@ SELECT product_id, round(fsum(quantity * 1e23) / 1e23, 4) AS large, round(fsum(u
     "p5_report": _ORPHANS + """, u AS (SELECT DISTINCT src_table, row_id, kind, period, key FROM k WHERE kind IS NOT NULL)
 SELECT src_table, period, kind, count(*) AS n_rows, count(DISTINCT key) AS n_keys FROM u GROUP BY src_table, period, kind""",
     "p5_missing": _ORPHANS + "SELECT src_table, period, count(*) AS n_rows, count(DISTINCT key) AS n_keys FROM k WHERE kind = 'missing' GROUP BY src_table, period",
-    "p6_found": _PARSED + "SELECT line_id, reason FROM pr WHERE reason IS NOT NULL UNION ALL SELECT line_id, reason FROM cr WHERE reason IS NOT NULL",
+    "p6_found": _PARSED + "SELECT line_id, reason FROM pr WHERE reason IS NOT NULL UNION ALL SELECT line_id, reason FROM cr WHERE reason IS NOT NULL UNION ALL SELECT line_id, 'file' FROM raw_lines WHERE file_name IS NULL OR file_name NOT IN ('products.csv', 'categories.csv')",
     "p6_products": _PARSED + """SELECT line_id, CAST(f0 AS BIGINT) AS "ProductID", f1 AS "ProductName", CAST(f2 AS INTEGER) AS "CategoryID", f3 AS "QuantityPerUnit", CAST(f4 AS DOUBLE) AS "UnitPrice",
 CAST(f5 AS INTEGER) AS "UnitsInStock", CAST(nullif(f6, '') AS INTEGER) AS "UnitsOnOrder", CAST(nullif(f7, '') AS INTEGER) AS "ReorderLevel", f8 AS "Discontinued" FROM pr WHERE reason IS NULL""",
     "p6_categories": _PARSED + """SELECT line_id, CAST(f0 AS INTEGER) AS "CategoryID", f1 AS "CategoryName", f2 AS "Description" FROM cr WHERE reason IS NULL""",
