@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import ship_package
+from weftline.session import materialise, ship_package
 
 #: A hot item's stripe is cut into so many parts, so that no task gets it whole.
 PARTS = 32
@@ -162,7 +162,7 @@ def cooccurrence(df: DataFrame, basket: str, item: str, min_count: int = 1, min_
     as k <= min(c_a, c_b) keeps their lift below it.
     """
     ship_package(df.sparkSession)
-    sets = baskets(df, basket, item)
+    sets = materialise(baskets(df, basket, item), "baskets")  # used three times
     counts = item_counts(sets)
     n = sets.count()
     often = counts.filter(F.col("c") * HOT_SHARE >= n).collect() if n else []

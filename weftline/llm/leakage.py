@@ -14,26 +14,29 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import ship_package
+from weftline.session import materialise, ship_package
 
 #: Successive words that make a leak, and edits (changed, missing or added words) allowed among them.
 WINDOW, MOST_EDITS = 20, 4
 #: Random walks, tables per walk, and embedding positions sampled for each table.
-WALKS, TABLES, SAMPLED = 6, 5, 7
+WALKS, TABLES, SAMPLED = 8, 8, 5
 #: Share of a window's information that must be there: words that many items use (as in questions of one pattern) tell little.
 LEAST_WEIGHT = 0.7
 #: Windows of texts that are looked up together.
 WINDOWS_AT_ONCE = 10_000
-#: Items held by a task at once; more are searched for in further passes over the corpus.
+#: Items in one block of the index; a task holds one block at a time.
 ITEMS_AT_ONCE = 5_000
+#: Words of texts that are held, once cut, while the blocks of the index are gone through.
+WORDS_AT_ONCE = 4_000_000
 
 #: Cyrillic and Greek letters that look like Latin ones, by the Latin letter; marks that show nothing.
 LOOKALIKES = {
@@ -117,14 +120,41 @@ class ItemIndex:
                 yield (e[:, self.positions[t]] * self.factors[t]).sum(axis=1)
 
 
-def build_index(items: list[tuple[int, str]], seed: int = 7) -> ItemIndex:
-    """Index of ``(id, text)`` pairs; sentences that several items share aren't an item's own words."""
-    sentences = [[words(s) for s in _SENTENCE.split(t or "")] for _, t in items]
-    seen = Counter(tuple(s) for per in sentences for s in {tuple(x) for x in per} if s)
+@dataclass
+class ItemStatistics:
+    """What all items together say: how many there are, in how many every word is, and the sentences that several share."""
+
+    n: int
+    uses: Counter
+    shared: set[int]
+
+
+def _sentences(text: str | None) -> list[list[str]]:
+    return [words(s) for s in _SENTENCE.split(text or "")]
+
+
+def _sentence_code(sentence: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(sentence))
+
+
+def item_statistics(texts: Iterable[str | None]) -> ItemStatistics:
+    n, uses, seen = 0, Counter(), Counter()
+    for t in texts:
+        per = _sentences(t)
+        n += 1
+        uses.update({w for s in per for w in s})
+        seen.update({_sentence_code(s) for s in per if s})
+    return ItemStatistics(n, uses, {c for c, k in seen.items() if k > 1})
+
+
+def build_index(items: list[tuple[int, str]], statistics: ItemStatistics | None = None, seed: int = 7) -> ItemIndex:
+    """Index of ``(id, text)`` pairs; sentences that several items share (of all items, not only these) aren't an item's own words."""
+    statistics = statistics or item_statistics(t for _, t in items)
     seqs, own = [], []
-    for per in sentences:
+    for _, t in items:
+        per = _sentences(t)
         seqs.append([w for s in per for w in s])
-        own.append(np.array([seen[tuple(s)] == 1 for s in per for _ in s], bool))
+        own.append(np.array([bool(mine) for s in per for mine in [_sentence_code(s) not in statistics.shared] * len(s)], bool))
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in s], np.int64) for s in seqs]
     size = len(vocabulary) + 1
@@ -138,8 +168,10 @@ def build_index(items: list[tuple[int, str]], seed: int = 7) -> ItemIndex:
         if len(x) > 2:
             some = mine[:-2] | mine[1:-1] | mine[2:]
             grams.append(((x[:-2] * size + x[1:-1]) * size + x[2:])[some])
-    uses = np.bincount(np.concatenate([np.unique(x) for x in coded] or [np.empty(0, np.int64)]), minlength=size)
-    weight = np.log((len(items) + 1) / np.maximum(1, uses))
+    uses = np.ones(size)
+    for w, k in vocabulary.items():
+        uses[k] = statistics.uses[w]
+    weight = np.log((statistics.n + 1) / np.maximum(1, uses))
     rng = np.random.default_rng(seed)
     n_tables = WALKS * TABLES
     index = ItemIndex(
@@ -212,9 +244,9 @@ class Search:
         self.waiting = 0
         self.found: dict[tuple[int, int], np.ndarray] = {}
 
-    def add(self, doc: int, text: str) -> None:
+    def add(self, doc: int, said: list[str]) -> None:
         get = self.index.vocabulary.get
-        x = np.array([get(w, 0) for w in words(text)], np.int64)
+        x = np.array([get(w, 0) for w in said], np.int64)
         starts = possible_starts(self.index, x)
         if len(starts) and len(self.index.rows):
             padded = np.concatenate([x, np.zeros(WINDOW + MOST_EDITS, np.int64)])
@@ -279,28 +311,51 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     aside, and up to MOST_EDITS of each WINDOW words may be changed, missing or
     added.  Sentences that several items share don't count towards the words.
     Items and texts shorter than that leak nothing, as do nulls; copies of a
-    (doc_id, text) row give one result, an empty table none.  The items are held
-    by every task, ITEMS_AT_ONCE at a time; every block searches all texts.
+    (doc_id, text) row give one result, an empty table none.  The items are
+    indexed in blocks of ITEMS_AT_ONCE, of which the driver and every task hold
+    one at a time, so the index may be any size; texts are read and cut into words
+    once, whatever the number of blocks.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    held = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).dropna().distinct().orderBy("i", "t")
-    rows = [(r[0], r[1]) for r in held.collect()]
+    held = materialise(items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).dropna().distinct(), "items")
+    statistics = item_statistics(r[0] for r in held.select("t").toLocalIterator())
+    blocks, block = [], []
+    for r in held.orderBy("i", "t").toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == ITEMS_AT_ONCE:
+            blocks.append(spark.sparkContext.broadcast(build_index(block, statistics)))
+            block = []
+    if block:
+        blocks.append(spark.sparkContext.broadcast(build_index(block, statistics)))
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    got = spark.createDataFrame([], "doc_id long, item_id long, n_words int")
-    for k in range(0, len(rows), ITEMS_AT_ONCE):
-        shared = spark.sparkContext.broadcast(build_index(rows[k : k + ITEMS_AT_ONCE]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                work = Search(index)
-                for k, t in enumerate(batch.column(1)):
-                    work.add(k, t.as_py())
-                ids = batch.column(0).to_pylist()
-                out = [(ids[d], index.ids[i], n) for d, i, n in work.result()]
-                cols = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["doc_id", "item_id", "n_words"])
-
-        got = got.unionByName(texts.mapInArrow(run, "doc_id long, item_id long, n_words int"))
-    return got.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+    names, kind = ["doc_id", "item_id", "n_words"], "doc_id long, item_id long, n_words int"
+
+    def search(ids: list[int], said: list[list[str]]) -> pa.RecordBatch:
+        out = []
+        for b in blocks:
+            work = Search(b.value)
+            for k, x in enumerate(said):
+                work.add(k, x)
+            out += [(ids[d], work.index.ids[i], n) for d, i, n in work.result()]
+            if len(blocks) > 1:
+                b.__dict__.pop("_value", None)  # read again when it is needed again
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        said: list[list[str]] = []
+        waiting = 0
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(i)
+                said.append(words(t.as_py()))
+                waiting += len(said[-1])
+                if waiting >= WORDS_AT_ONCE:
+                    yield search(ids, said)
+                    ids, said, waiting = [], [], 0
+        if ids:
+            yield search(ids, said)
+
+    return texts.mapInArrow(run, kind).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

@@ -10,6 +10,7 @@ Workers never need each other.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import parts_for, ship_package
+from weftline.session import materialise, ship_package
 
 CAPACITY = 4096
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Input bytes (as stored) for which there is one worker.
-BYTES_PER_WORKER = 32 << 20
+#: Tokens, and texts, for which there is one worker.
+TOKENS_PER_WORKER, TEXTS_PER_WORKER = 16 << 20, 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -39,25 +40,17 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY, workers: int = 1) -> DataFrame:
-    """``(doc_id, n_tokens, worker)`` of whole texts; a null text has no tokens. Strings of special tokens are ordinary text.
-
-    Rows are dealt to workers by id and by their number within the task, so
-    copies with equal ids spread too.
-    """
+def token_counts(df: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(doc_id, n_tokens)`` of whole texts; a null text has no tokens. Strings of special tokens are ordinary text."""
     d = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoding(vocabulary).encode_ordinary, 0
+        encode = encoding(vocabulary).encode_ordinary
         for batch in batches:
-            ids, n = batch.column(0), batch.num_rows
             sizes = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(1)]
-            mixed = ids.fill_null(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-            worker = (mixed + np.arange(seen, seen + n, dtype=np.uint64)) % np.uint64(workers)
-            seen += n
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(worker.astype(np.int32))], names=["doc_id", "n_tokens", "worker"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return d.mapInArrow(run, "doc_id long, n_tokens long, worker int")
+    return d.mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def reciprocal_class(size: np.ndarray | int, capacity: int) -> np.ndarray | int:
@@ -123,13 +116,17 @@ def pack_documents(df: DataFrame, doc_id: str, text: str, capacity: int = CAPACI
     ``capacity`` tokens, which fill a container each, and a rest that is packed
     like a text.  ``place`` numbers the texts of a container, ``token_offset`` is
     where one begins.  Null and empty texts have no tokens and come out with a
-    null container.  Every row of ``df`` is a text of its own, copies and rows
+    null container.  There is a worker per TOKENS_PER_WORKER tokens unless their
+    number is given.  Every row of ``df`` is a text of its own, copies and rows
     with equal or null ids too (their pieces bear the same id).  An empty table
     gives an empty result; other columns are ignored.
     """
     ship_package(df.sparkSession)
+    # written down with a number per row: a task that runs again deals every text to the same worker
+    counts = materialise(token_counts(df, doc_id, text, vocabulary).withColumn("row", F.monotonically_increasing_id()), "tokens")
     if workers is None:
-        workers = parts_for(df, BYTES_PER_WORKER)
+        n, tokens = counts.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+        workers = max(1, math.ceil((tokens or 0) / TOKENS_PER_WORKER), math.ceil(n / TEXTS_PER_WORKER))
     names = ["doc_id", "piece", "token_start", "n_tokens", "container_id", "place", "token_offset"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -149,5 +146,6 @@ def pack_documents(df: DataFrame, doc_id: str, text: str, capacity: int = CAPACI
         ids = frame["doc_id"].array.astype("Int64") if hasattr(frame["doc_id"].array, "astype") else frame["doc_id"]
         return pd.concat([pd.DataFrame(dict(zip(names, (ids[rows], *(pd.array(c, "Int64") for c in cols))))) for rows, *cols in blocks], ignore_index=True)
 
-    counts = token_counts(df, doc_id, text, vocabulary, workers)
-    return counts.groupBy("worker").applyInPandas(run, ", ".join(f"{n} long" for n in names))
+    # by the number of the row, so that copies with equal ids spread too
+    dealt = counts.select("doc_id", "n_tokens", F.pmod(F.xxhash64("row"), F.lit(workers)).cast("int").alias("worker"))
+    return dealt.groupBy("worker").applyInPandas(run, ", ".join(f"{n} long" for n in names))

@@ -14,27 +14,26 @@ from weftline.session import read_table
 SIGNIFICANT = 10.828
 
 
-#: Grade words and house names, which may differ between names of one product.
-GRADES = ("organic", "mild", "hot", "dark", "light", "unsweetened", "extra", "fine", "old", "style")
-HOUSES = ("quillmark", "foods", "ostrel", "provisions", "halvern", "trading")
-
-
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices of the second table are brought to EUR before the comparison."""
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[matching.Side, matching.Side]:
+    """Both product tables; prices of the second are brought to EUR."""
     known = units.known_units(read_table(spark, sf_dir, "measure_units"))
-    feeds = units.declared_sources(read_table(spark, sf_dir, "price_feeds"), "feed", "price_unit")
+    feeds = units.declared_sources(read_table(spark, sf_dir, "price_feeds"), "feed", "price_unit").withColumnRenamed("source", "feed")
 
     @F.pandas_udf("double")
-    def euros(text: pd.Series, feed: pd.Series) -> pd.Series:
-        got = [units.convert_price(known, feeds, t, f) for t, f in zip(text, feed)]
+    def euros(text: pd.Series, unit: pd.Series) -> pd.Series:
+        got = units.each_text_once(lambda t, u: units.convert_price(known, t, u), text, unit)
         return pd.Series([None if g is None else g[1] / 100 for g in got], dtype=float)
 
-    ds2 = read_table(spark, sf_dir, "ds2_products").select("productid", "productname", "categoryid", euros("unitprice", "feed").alias("eur"))
-    return matching.match_entities(
+    ds2 = read_table(spark, sf_dir, "ds2_products").join(feeds, "feed", "left").select("productid", "productname", "categoryid", euros("unitprice", "declared").alias("eur"))
+    return (
         matching.Side(read_table(spark, sf_dir, "ds1_products"), "id", "product_name", "list_price", "category"),
         matching.Side(ds2, "productid", "productname", "eur", "categoryid"),
-        GRADES + HOUSES,
-    ).select(F.col("left_id").alias("ds1_id"), F.col("right_id").alias("ds2_productid"), "confidence")
+    )
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = matching.match_entities(*_sides(spark, sf_dir))
+    return got.select(F.col("left_id").alias("ds1_id"), F.col("right_id").alias("ds2_productid"), "confidence")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ RATIO_STEP, RATIO_MOST = 0.25, 12.0
 #: Prior weight of the share of texts cut at no limit: as if so many cut and whole texts had been seen.
 PRIOR_CUT, PRIOR_WHOLE = 0.5, 60.0
 
+_OBJECT = re.compile(r"\s*\{")
 _FENCE = re.compile(r"^```", re.M)
 _CELL = re.compile(r"^# (%%(?: \[markdown\])?|Out\[[ \d]*\]:)", re.M)
 _PROMPT = re.compile(r"^(In|Out) ?\[[ \d]*\]:", re.M)
@@ -52,8 +53,7 @@ _BASE64 = re.compile(r"base64,([A-Za-z0-9+/]+)(=*)\Z")
 
 def layout(text: str) -> str:
     """How cells are laid out, told from the text itself."""
-    head = text[:200].lstrip()
-    if head.startswith("{"):
+    if _OBJECT.match(text):
         return "json"
     if _CELL.search(text):
         return "percent"
@@ -227,7 +227,7 @@ def _descend(whole: list, cut: list, weights: np.ndarray, seed: int) -> tuple[np
 
 def _common(rows: list) -> list:
     """The rows without the features that fewer than LEAST_TEXTS of them have."""
-    seen = np.bincount(np.concatenate([np.asarray(r, np.int64) for r in rows]), minlength=BUCKETS)
+    seen = np.bincount(np.concatenate([np.empty(0, np.int64), *(np.asarray(r, np.int64) for r in rows)]), minlength=BUCKETS)
     return [[f for f in r if seen[f] >= LEAST_TEXTS] or r[:1] for r in rows]
 
 
@@ -247,9 +247,11 @@ def _presumed_whole(whole: list, cut: list, bound: float, seed: int) -> list:
 
 
 def train_endings(whole: list, cut: list, seed: int = 3) -> EndingModel:
-    """Fit on two thirds, calibrate on the rest, each without the true endings that look cut to a model that didn't see them."""
-    if len(whole) < 30 or len(cut) < 30:
-        return EndingModel(np.zeros(BUCKETS), 0.0, 1.0, 0.0)
+    """Fit on two thirds, calibrate on the rest, each without the true endings that look cut to a model that didn't see them.
+
+    The same at every size: ridge and prior hold the ratios of a model near 0
+    that has seen little, and at 0 if it has seen nothing.
+    """
     train_w, train_c = [r for i, r in enumerate(whole) if i % 3], [r for i, r in enumerate(cut) if i % 3]
     for bound in PLAINLY_CUT:
         train_w = _presumed_whole(train_w, train_c, bound, seed)
@@ -258,13 +260,14 @@ def train_endings(whole: list, cut: list, seed: int = 3) -> EndingModel:
     sw, sc = model.raw(held_w), model.raw(held_c)
     sw = sw[sw < 0] if (sw < 0).any() else sw
     x, y = np.r_[sw, sc], np.r_[np.zeros(len(sw)), np.ones(len(sc))]
-    per = np.where(y == 1, 1 / len(sc), 1 / len(sw))
+    per = np.where(y == 1, 1 / max(1, len(sc)), 1 / max(1, len(sw)))
+    few = 1 / (1 + len(x))  # the prior (scale 1, shift 0) weighs as much as one ending
     a, b = 1.0, 0.0
     for _ in range(200):  # Platt's sigmoid, both classes weighing the same
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         g, h = per * (p - y), per * p * (1 - p) + 1e-9
-        grad = np.array([(g * x).sum() + 1e-3 * (a - 1), g.sum()])
-        hess = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
+        grad = np.array([(g * x).sum() + (1e-3 + few) * (a - 1), g.sum() + few * b])
+        hess = np.array([[(h * x * x).sum() + 1e-3 + few, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6 + few]])
         step = np.linalg.solve(hess, grad)
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-6:
@@ -374,7 +377,7 @@ def truncation(docs: DataFrame, doc_id: str, text: str, source: str, sample: int
     placed = placed.join(by_bytes, F.col("source").eqNullSafe(F.col("s2")) & ((F.ceil(F.col("bytes") / BYTE_STEP) * BYTE_STEP).cast("long") == F.col("l2")), "left")
     placed = placed.withColumn("p_limit", F.greatest(F.coalesce("p1", F.lit(0.0)), F.coalesce("p2", F.lit(0.0))))
     # endings at a limit are no examples of whole texts
-    rows = placed.filter("cut is not null").select("found", "cut", "p_limit", "doc_id").orderBy("doc_id").limit(2 * sample).collect()
+    rows = placed.filter("cut is not null").select("found", "cut", "p_limit", F.xxhash64("doc_id", F.lit(29)).alias("h")).orderBy("h").limit(2 * sample).collect()
     model = docs.sparkSession.sparkContext.broadcast(train_endings([r[0] for r in rows if r[2] < 0.5], [r[1] for r in rows]))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
