@@ -122,3 +122,49 @@ def test_sliding_totals_forget_what_is_old(spark, tmp_path):
     q = sliding_totals(stream, "u", "ts", "v", 60, "1 hour").writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [b for b in out if b] == [{"a": (1.0, 1), "b": (2.0, 1)}, {"a": (13.0, 3)}, {"a": (28.0, 3), "b": (34.0, 2)}]
+
+
+def test_queue_timer_and_stop(spark):
+    s = Schema(spark)
+    t = s.create_table("T")
+    s.create_column("at", t, kind="timestamp")
+    s.create_column("A", t)
+    server = S.Server(s)
+    ticks, told = [], []
+    server.connectors = [S.Timer(server, 0.2, lambda ctx: ticks.append(1)), S.Simulator(server, t, ["at", "A"], [(1.0,), (2.0,), (30.0,)], [0.0, 0.1, 0.0], S.evaluate, S.alert(t, "A > 1.5", told.append, ["A"]))]
+    server.begin()
+    assert server.put(lambda ctx: 1 / 0).wait(60) is False
+    server.connectors[1].thread.join(60)
+    assert server.put(S.evaluate).wait(120)
+    assert server.put(S.alert(t, F.col("A") >= 30, told.append, ["A"])).wait(60)
+    assert server.stop() and ticks and not server.connectors[0].thread.is_alive()
+    n = len(ticks)
+    assert [type(e) for e in server.errors] == [ZeroDivisionError] and live(t, "A") == [1.0, 2.0, 30.0]
+    assert [[r["A"] for r in x] for x in told] == [[2.0, 30.0], [30.0]] and len(ticks) == n
+    assert server.stop()  # again is no harm
+
+
+def test_batches_write_what_they_add(spark, tmp_path):
+    s = Schema(spark)
+    t, kinds = s.create_table("T"), s.create_table("K").load(spark.createDataFrame([(0, "a"), (1, "b")], "k int, name string"), id_column="k")
+    s.create_column("kind", t, kind="string")
+    s.create_column("v", t)
+    s.create_column("to", t, kinds).link("kind", "name")
+    s.create_column("total", kinds).accumulate("to", t, lambda p: Sum(p[0]), "v", incremental=True)
+    server = S.Server(s, str(tmp_path))
+    rows = lambda i: spark.createDataFrame([("ab"[j % 2], float(10 * i + j)) for j in range(3)], "kind string, v double")
+    for i in range(5):
+        server.run_batch([S.add(t), S.evaluate, S.keep_last(t, 6)], rows(i), i)
+        parts = [p for p in (tmp_path / "T").iterdir()]
+        assert len(parts) <= 4 and spark.read.parquet(str(tmp_path / "T" / f"batch={i}")).count() == 3  # only what came
+    s.evaluate()
+    assert live(t, "v") == [30.0, 31.0, 32.0, 40.0, 41.0, 42.0] and [r[0] for r in kinds.df().orderBy("_id").select("total").collect()] == [30 + 32 + 40 + 42.0, 31 + 41.0]
+    assert len(list((tmp_path / "_state").iterdir())) == 2
+    # after a failure the batch is run again from what is written
+    server.run_batch([S.add(t), S.evaluate], rows(9), 4)
+    assert live(t, "v") == [20.0, 21.0, 22.0, 30.0, 31.0, 32.0, 90.0, 91.0, 92.0][3:] or live(t, "v")[-3:] == [90.0, 91.0, 92.0]
+
+
+def test_the_last_interval_is_left_open(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(5)], "interval long, total double")
+    assert sorted(r.interval for r in S.closed(df).collect()) == [0, 1, 2, 3] and S.closed(df.limit(0)).count() == 0

@@ -62,11 +62,24 @@ def _delete(spark: SparkSession, place: str) -> None:
             shutil.rmtree(place.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+#: Folders made by ``scratch_folder`` that still exist.
+scratch_made: list[str] = []
+
+
+def delete_scratch(spark: SparkSession, places: list[str]) -> None:
+    for place in places:
+        _delete(spark, place)
+        if place in scratch_made:
+            scratch_made.remove(place)
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared checkpoint folder; it is deleted when the driver ends."""
     ensure_checkpoint_dir(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/weftline-{purpose}-{uuid.uuid4()}"
-    atexit.register(_delete, spark, place)
+    if not scratch_made:
+        atexit.register(lambda: delete_scratch(spark, list(scratch_made)))
+    scratch_made.append(place)
     return place
 
 
