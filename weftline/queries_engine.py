@@ -149,13 +149,13 @@ def project_where(spark, sf_dir):
 
 
 def project_range_gaps(spark, sf_dir):
+    """All events by stretches of twenty seconds, many of which have none."""
     s, t = tables(spark, sf_dir, "events")
-    t["events"].replace(t["events"].data.filter("event_id % 97 = 5"))
-    r = s.create_table("quarters").range(DurationRange(EVENTS_FROM - dt.timedelta(days=1), dt.timedelta(minutes=15), 100_000))
-    s.create_column("quarter", t["events"], r).project("ts")
-    s.create_column("total", r).set_default(0.0).accumulate("quarter", t["events"], lambda p: Sum(p[0]), "value")
+    r = s.create_table("stretches").range(DurationRange(EVENTS_FROM - dt.timedelta(days=1), dt.timedelta(seconds=20), 10_000_000))
+    s.create_column("stretch", t["events"], r).project("ts")
+    s.create_column("total", r).set_default(0.0).accumulate("stretch", t["events"], lambda p: Sum(p[0]), "value")
     s.evaluate()
-    return r.df().select(F.col(ID).alias("quarter_id"), "interval", F.round("total", 4).alias("total"))
+    return r.df().select(F.col(ID).alias("stretch_id"), "interval", F.round("total", 4).alias("total"))
 
 
 def project_range_seconds(spark, sf_dir):
@@ -433,9 +433,9 @@ SQL = {
     "project_distinct": "SELECT row_number() OVER (ORDER BY min(p_partkey)) - 1 AS brand_id, p_brand AS name, count(*) AS n_parts FROM part GROUP BY p_brand",
     "project_where": """WITH k AS (SELECT p_brand, p_size, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS id FROM part WHERE p_size > 40 AND p_brand <> 'Brand#11' GROUP BY 1, 2)
         SELECT p_partkey, coalesce(id, -1) AS of_kind FROM part LEFT JOIN k USING (p_brand, p_size)""",
-    "project_range_gaps": """WITH e AS (SELECT event_id, value, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2023-12-31')) / 900000000) AS BIGINT) AS q FROM events WHERE event_id % 97 = 5 AND ts >= TIMESTAMP '2023-12-31'),
-        f AS (SELECT q AS first FROM e WHERE q < 100000 ORDER BY event_id LIMIT 1), r AS (SELECT unnest(generate_series((SELECT first FROM f), (SELECT least(max(q), 99999) FROM e))) AS interval)
-        SELECT interval - first AS quarter_id, interval, round(coalesce(sum(value), 0), 4) AS total FROM r CROSS JOIN f LEFT JOIN e ON q = interval GROUP BY first, interval""",
+    "project_range_gaps": """WITH e AS (SELECT event_id, value, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2023-12-31')) / 20000000) AS BIGINT) AS q FROM events WHERE ts >= TIMESTAMP '2023-12-31'),
+        f AS (SELECT q AS first FROM e WHERE q < 10000000 ORDER BY event_id LIMIT 1), r AS (SELECT unnest(generate_series((SELECT first FROM f), (SELECT least(max(q), 9999999) FROM e))) AS interval)
+        SELECT interval - first AS stretch_id, interval, round(coalesce(sum(value), 0), 4) AS total FROM r CROSS JOIN f LEFT JOIN e ON q = interval GROUP BY first, interval""",
     "project_range_seconds": """WITH e AS (SELECT event_id, value, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2023-12-31')) / 1000000) AS BIGINT) AS q FROM events WHERE ts >= TIMESTAMP '2023-12-31'),
         f AS (SELECT q AS first FROM e WHERE q < 100000000 ORDER BY event_id LIMIT 1), r AS (SELECT unnest(generate_series((SELECT first FROM f), (SELECT least(max(q), 99999999) FROM e))) AS interval)
         SELECT interval - first AS second_id, interval, round(coalesce(sum(value), 0), 4) AS total FROM r CROSS JOIN f LEFT JOIN e ON q = interval GROUP BY first, interval""",
