@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import cooccur, leakage, matching, packing, truncation
 from weftline.operators import units
-from weftline.session import read_table
+from weftline.session import materialise, read_table
 
 #: G2 of one degree of freedom at a probability of 0.001.
 SIGNIFICANT = 10.828
@@ -45,6 +45,20 @@ def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir)
 
 
+def p2_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches that can't be: a second one of a ds2 product, an id of neither table, a confidence out of bounds. There are none."""
+    got = _matches(spark, sf_dir)
+    twice = got.groupBy("ds2_productid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ds2_productid", F.lit("twice").alias("why"))
+    lost = got.join(read_table(spark, sf_dir, "ds1_products").select(F.col("id").alias("ds1_id")), "ds1_id", "left_anti").select("ds2_productid", F.lit("no ds1").alias("why"))
+    lost = lost.unionByName(got.join(read_table(spark, sf_dir, "ds2_products").select(F.col("productid").alias("ds2_productid")), "ds2_productid", "left_anti").select("ds2_productid", F.lit("no ds2").alias("why")))
+    return twice.unionByName(lost).unionByName(got.filter(~F.col("confidence").between(0.5, 1)).select("ds2_productid", F.lit("confidence").alias("why")))
+
+
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ds1 product with the one that stands for all of its name."""
+    return matching.left_members(_sides(spark, sf_dir)[0]).select(F.col("left_id").alias("ds1_id"), "same_as")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cooccur.cooccurrence(read_table(spark, sf_dir, "order_items"), "order_id", "product_id", min_count=12, min_lift=4)
     return got.select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"))
@@ -73,6 +87,23 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers that are overfull or not filled without holes, and texts whose pieces don't make up the whole. There are none."""
+    got = materialise(p7_packed(spark, sf_dir), "packed")
+    per = got.filter("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_offset") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("k"), F.max("place").alias("last"))
+    bad = per.filter((F.col("n") > packing.CAPACITY) | (F.col("end") != F.col("n")) | (F.col("last") != F.col("k") - 1)).select(F.lit("container").alias("what"), F.col("container_id").alias("id"))
+    texts = got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.max("piece").alias("last"), F.count(F.lit(1)).alias("k"))
+    split = texts.filter((F.col("n") != F.col("end")) | (F.col("last") != F.col("k") - 1)).select(F.lit("text").alias("what"), F.col("doc_id").alias("id"))
+    lost = read_table(spark, sf_dir, "documents").select("doc_id").join(texts.select("doc_id"), "doc_id", "left_anti").select(F.lit("lost").alias("what"), F.col("doc_id").alias("id"))
+    return bad.unionByName(split).unionByName(lost)
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is packed once, in one piece unless it is longer than a container."""
+    got = p7_packed(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("n"))
+    return got.select("doc_id", (F.col("k") == F.greatest(F.lit(1), F.ceil(F.col("n") / packing.CAPACITY))).alias("least_pieces"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "eval_items"), "item_id", "item_text")
 
@@ -88,6 +119,13 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(leaks, "item_id", "left").fillna(0, ["n_docs", "most_words"])
 
 
+def p8_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole item word for word, as p8_found has them."""
+    leaks = _leaks(spark, sf_dir).select("doc_id", "item_id")
+    texts, items = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "eval_items").select("item_id", "item_text")
+    return leaks.join(texts, "doc_id").join(items, "item_id").filter(F.contains("text", "item_text")).select("doc_id", "item_id")
+
+
 def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
@@ -101,7 +139,12 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_report(_cuts(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_pairs, p4_all, p7_packed, p8_found, p8_items, p9_found, p9_sources)}
+def p9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of every source that p9_sources speaks of: all that aren't empty."""
+    return p9_sources(spark, sf_dir).select("source", "n_texts")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p2_violations, p2_members, p4_found, p4_pairs, p4_all, p7_packed, p7_violations, p7_pieces, p8_found, p8_items, p8_verbatim, p9_found, p9_sources, p9_counts)}
 
 _PAIRS = """
 WITH b AS (SELECT DISTINCT order_id, product_id FROM order_items WHERE order_id IS NOT NULL AND product_id IS NOT NULL),
@@ -115,6 +158,11 @@ _LLR = "greatest(0.0, 2 * (" + " + ".join(_T.format(f"CAST({x} AS DOUBLE)") for
 _LLR += "".join(" - " + _T.format(f"CAST({x} AS DOUBLE)") for x in ("a", "(n - a)", "b", "(n - b)")) + "))"
 
 SQL = {
+    "p2_violations": "SELECT productid AS ds2_productid, '' AS why FROM ds2_products WHERE false",
+    "p7_violations": "SELECT '' AS what, doc_id AS id FROM documents WHERE false",
+    "p7_pieces": "SELECT doc_id, TRUE AS least_pieces FROM documents",
+    "p8_verbatim": "SELECT doc_id, item_id FROM documents JOIN eval_items ON contains(text, item_text) WHERE len(regexp_extract_all(item_text, '[a-zA-Z0-9]+')) >= 20",
+    "p9_counts": "SELECT source, count(*) AS n_texts FROM documents WHERE doc_id IS NOT NULL AND text <> '' GROUP BY source",
     "p4_found": _PAIRS + "SELECT product_a, product_b FROM j WHERE k >= 12 AND k * n >= 4 * a * b",
     "p4_all": _PAIRS
     + f"""SELECT product_a, product_b, k AS orders_both, a AS orders_a, b AS orders_b, round(CAST(k AS DOUBLE) * n / (CAST(a AS DOUBLE) * b), 4) AS lift, round({_LLR}, 4) AS llr FROM j""",
