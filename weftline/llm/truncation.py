@@ -377,7 +377,8 @@ def truncation(docs: DataFrame, doc_id: str, text: str, source: str, sample: int
     placed = placed.join(by_bytes, F.col("source").eqNullSafe(F.col("s2")) & ((F.ceil(F.col("bytes") / BYTE_STEP) * BYTE_STEP).cast("long") == F.col("l2")), "left")
     placed = placed.withColumn("p_limit", F.greatest(F.coalesce("p1", F.lit(0.0)), F.coalesce("p2", F.lit(0.0))))
     # endings at a limit are no examples of whole texts
-    rows = placed.filter("cut is not null").select("found", "cut", "p_limit", F.xxhash64("doc_id", F.lit(29)).alias("h")).orderBy("h").limit(2 * sample).collect()
+    rows = placed.filter("cut is not null").select("found", "cut", "p_limit", "doc_id", F.xxhash64("doc_id", F.lit(29)).alias("h")).orderBy("h").limit(2 * sample).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["found"]))
     model = docs.sparkSession.sparkContext.broadcast(train_endings([r[0] for r in rows if r[2] < 0.5], [r[1] for r in rows]))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
