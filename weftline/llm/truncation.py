@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import ensure_checkpoint_dir, ship_package
+from weftline.session import materialise, ship_package
 
 #: Hashed features of an ending; texts of the training sample (at most about so many); rounds over them.
 BUCKETS, SAMPLE, EPOCHS = 1 << 18, 20_000, 10
@@ -366,11 +366,10 @@ def truncation(docs: DataFrame, doc_id: str, text: str, source: str, sample: int
     of endings is fitted on about ``sample`` texts at most, chosen by id; all
     else covers every text.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
     ship_package(docs.sparkSession)
     n = docs.count()
-    seen = evidence(docs, doc_id, text, source, min(1.0, sample / max(1, n))).checkpoint()
-    limits = limit_posteriors(seen).checkpoint()  # a few rows per source, used in several places
+    seen = materialise(evidence(docs, doc_id, text, source, min(1.0, sample / max(1, n))), "endings")
+    limits = materialise(limit_posteriors(seen), "limits")  # a few rows per source, used in several places
     by_chars = limits.filter("unit = 'chars'").select(F.col("source").alias("s1"), F.col("length").alias("l1"), F.col("p_limit").alias("p1"))
     by_bytes = limits.filter("unit = 'bytes'").select(F.col("source").alias("s2"), F.col("length").alias("l2"), F.col("p_limit").alias("p2"))
     placed = seen.join(by_chars, F.col("source").eqNullSafe(F.col("s1")) & (F.col("chars") == F.col("l1")), "left")
