@@ -123,8 +123,8 @@ class Column(Element):
         self.define(None)
         return self
 
-    def calculate(self, fn: Callable | str | None, *paths: Path, udf: bool = False) -> Column:
-        """``fn`` gets a list of Columns and returns one; with ``udf`` it is plain Python over values; a string is a formula; None gives the default."""
+    def calculate(self, fn: Callable | str | None, *paths: Path, udf: bool | str = False) -> Column:
+        """``fn`` gets a list of Columns and returns one; with ``udf="series"`` it gets pandas Series and returns one (a batch at a time), with ``udf=True`` it is plain Python over the values of a row; a string is a formula; None gives the default."""
         if isinstance(fn, str):
             f = formulas.parse(fn)
             self.define(Definition("calculate", fn=f, paths=list(f.paths), udf=False))

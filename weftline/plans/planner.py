@@ -347,9 +347,11 @@ class Frames:
             return df.select(*keep, F.lit(c.default).cast(c.kind).alias(c.name))
         joined, values = self.with_paths(c.table, df, d.paths)
         if d.udf:
-            fn = d.fn
+            fn, whole = d.fn, d.udf == "series"
 
             def call(*series: pd.Series) -> pd.Series:
+                if whole:
+                    return fn(list(series))
                 return pd.Series([fn(list(row)) for row in zip(*series)], dtype=object)
 
             value = F.pandas_udf(call, c.kind)(*values)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from weftline.operators.accumulate import Count, Fold, Plain, StreamFold, Sum, a
 from weftline.operators.ids import ID
 from weftline.operators.ranges import DurationRange, NumberRange, PeriodRange, range_table
 from weftline.operators.roll import roll_by
-from weftline.session import ensure_checkpoint_dir, read_table
+from weftline.session import read_table, scratch_folder
 from weftline.sources.replay import file_stream
 from weftline.streaming import server as S
 from weftline.streaming import windows
@@ -63,6 +63,14 @@ def calc_udf(spark, sf_dir):
     return t["part"].df().select("p_partkey", "size_class")
 
 
+def calc_series(spark, sf_dir):
+    """A function over whole batches, as pandas Series."""
+    s, t = tables(spark, sf_dir, "part")
+    s.create_column("size_class", t["part"], kind="string").calculate(lambda p: pd.cut(p[0], [-1, 9, 40, 1 << 30], labels=["small", "middle", "large"]).astype(str), "p_size", udf="series")
+    s.evaluate()
+    return t["part"].df().select("p_partkey", "size_class")
+
+
 def link_customer(spark, sf_dir):
     s, t = sales(spark, sf_dir)
     s.evaluate(t["orders"].column("customer"))
@@ -334,8 +342,7 @@ def retention_age(spark, sf_dir):
 
 def stream_totals(spark, sf_dir):
     """Events that arrive as a stream of files are appended and linked to their hour; the totals are what the last batch left."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    folder = scratch_folder(spark, "stream")
     s = Schema(spark)
     events, kinds = s.create_table("events"), s.create_table("kinds")
     for name, kind in (("event_id", "bigint"), ("event_type", "string"), ("value", "double")):
@@ -396,7 +403,7 @@ def nation_revenue(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        nation_revenue, calc_revenue, calc_path, calc_udf, link_customer, link_missing, link_first_duplicate, link_nullsafe, link_two_keys, link_range_number, link_range_duration, link_range_period,
+        nation_revenue, calc_revenue, calc_path, calc_udf, calc_series, link_customer, link_missing, link_first_duplicate, link_nullsafe, link_two_keys, link_range_number, link_range_duration, link_range_period,
         project_distinct, project_where, project_range_gaps, project_range_seconds, accumulate_customer, accumulate_path, accumulate_of_accumulate, accumulate_retract, accumulate_fold,
         roll_rows, roll_future, roll_weighted, roll_smooth, roll_mean, roll_diff, roll_time, product_all, product_where, range_number, range_duration, range_period, vwap_hourly, tumble_then_roll,
         window_tumbling, window_sessions, stream_totals, retention_count, retention_age, formula_calc, formula_path, formula_fold, semi_anti,
@@ -420,6 +427,7 @@ SQL = {
     "calc_path": """SELECT o_orderkey, n_name AS nation_name, upper(r_name) AS region_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
         LEFT JOIN region ON r_regionkey = n_regionkey""",
     "calc_udf": "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size > 40 THEN 'large' ELSE 'middle' END AS size_class FROM part",
+    "calc_series": "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size > 40 THEN 'large' ELSE 'middle' END AS size_class FROM part",
     "link_customer": "SELECT o_orderkey, coalesce(c_custkey, -1) AS customer FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "link_missing": "SELECT o_orderkey, coalesce(c_custkey, -1) AS customer FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0",
     "link_first_duplicate": "SELECT c_custkey, coalesce(m, -1) AS first_order FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey",
