@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftline.llm import cooccur
 from weftline.llm.cooccur import Stripes, cooccurrence, pair_blocks
@@ -74,3 +75,14 @@ def test_stripes_combine():
     s.add(np.array([1, 1]), np.array([2, 9]))
     a, b, n = s.combine()
     assert sorted(zip(a.tolist(), b.tolist(), n.tolist())) == [(1, 2, 2), (1, 9, 1), (5, 9, 2)]
+
+
+def test_a_long_basket_is_cut_into_pieces(spark):
+    from weftline.llm import cooccur as C
+
+    n = 2 * C.BLOCK_ITEMS + 77
+    rows = spark.range(n).select(F.lit(1).alias("o"), F.col("id").alias("p")).unionByName(spark.range(40).select(F.lit(2).alias("o"), (F.col("id") * 60).alias("p")))
+    got = C.cooccurrence(rows, "o", "p")
+    assert got.count() == n * (n - 1) // 2 + sum(1 for a in range(40) for b in range(a) if 60 * a >= n)
+    both = [60 * k for k in range(40) if 60 * k < n]
+    assert {(r.item_a, r.item_b) for r in got.filter("k = 2").collect()} == {(a, b) for a in both for b in both if a < b}

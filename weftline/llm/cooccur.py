@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +97,20 @@ class Stripes:
         return a, b, n
 
 
+def _pieces(sets: DataFrame) -> DataFrame:
+    """``(items, others)``: baskets as they are, with null ``others``; a basket of more than BLOCK_ITEMS items as pairs of its pieces, spread over tasks."""
+    none = F.lit(None).cast("array<bigint>").alias("others")
+    short = sets.filter(F.size("items") <= BLOCK_ITEMS).select("items", none)
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("items") / BLOCK_ITEMS).cast("int") - 1), lambda i: F.slice("items", i * BLOCK_ITEMS + 1, F.lit(BLOCK_ITEMS)))
+    cut = sets.filter(F.size("items") > BLOCK_ITEMS).select(cut.alias("ps"))
+    at = cut.select("ps", F.posexplode("ps").alias("i", "items"))
+    pairs = at.select("items", F.explode(F.slice("ps", F.col("i") + 1, F.size("ps"))).alias("others"))
+    # the first is the piece itself
+    pairs = pairs.select("items", F.when(F.get("items", F.lit(0)) != F.get("others", F.lit(0)), F.col("others")).alias("others"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return short.unionByName(pairs.repartition(parts))
+
+
 def pair_counts(sets: DataFrame, dropped: np.ndarray, hot: np.ndarray) -> DataFrame:
     """``(a, b, k)`` with a < b for all pairs of items that are not in ``dropped``.
 
@@ -103,9 +118,19 @@ def pair_counts(sets: DataFrame, dropped: np.ndarray, hot: np.ndarray) -> DataFr
     of all basket places, so there are at most m times the mean basket of them.
     """
 
+    def lists(col: pa.Array) -> list[np.ndarray]:
+        """The items of every row, without the dropped ones."""
+        return [x[~np.isin(x, dropped)] if len(dropped) else x for x in (r.values.to_numpy(zero_copy_only=False) for r in col)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stripes = Stripes()
         for batch in batches:
+            # two pieces of a long basket: every item of one with every item of the other
+            across = pc.is_valid(batch.column(1))
+            two = batch.filter(across)
+            for x, y in zip(lists(two.column(0)), lists(two.column(1))):
+                stripes.add(np.repeat(x, len(y)), np.tile(y, len(x)))
+            batch = batch.filter(pc.invert(across))
             col = batch.column(0)
             flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))
             if len(dropped):
@@ -134,7 +159,7 @@ def pair_counts(sets: DataFrame, dropped: np.ndarray, hot: np.ndarray) -> DataFr
         for k in range(0, whole.num_rows, 20_000):
             yield whole.slice(k, 20_000)
 
-    stripes = sets.filter(F.size("items") > 1).mapInArrow(run, "a long, part int, bs array<long>, ks array<int>")
+    stripes = _pieces(sets.filter(F.size("items") > 1)).mapInArrow(run, "a long, part int, bs array<long>, ks array<int>")
     # the exchange carries whole stripes; what follows is summed within it, without another one
     merged = stripes.repartition("a", "part").select("a", "part", F.explode(F.arrays_zip("bs", "ks")).alias("e"))
     return merged.groupBy("a", "part", F.col("e.bs").alias("b")).agg(F.sum(F.col("e.ks").cast("long")).alias("k")).select("a", "b", "k")
