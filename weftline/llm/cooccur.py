@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,18 +96,21 @@ class Stripes:
         return a, b, n
 
 
-def _pieces(sets: DataFrame) -> DataFrame:
-    """``(items, others)``: baskets as they are, with null ``others``; a basket of more than BLOCK_ITEMS items as pairs of its pieces, spread over tasks."""
-    none = F.lit(None).cast("array<bigint>").alias("others")
-    short = sets.filter(F.size("items") <= BLOCK_ITEMS).select("items", none)
-    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("items") / BLOCK_ITEMS).cast("int") - 1), lambda i: F.slice("items", i * BLOCK_ITEMS + 1, F.lit(BLOCK_ITEMS)))
-    cut = sets.filter(F.size("items") > BLOCK_ITEMS).select(cut.alias("ps"))
-    at = cut.select("ps", F.posexplode("ps").alias("i", "items"))
-    pairs = at.select("items", F.explode(F.slice("ps", F.col("i") + 1, F.size("ps"))).alias("others"))
-    # the first is the piece itself
-    pairs = pairs.select("items", F.when(F.get("items", F.lit(0)) != F.get("others", F.lit(0)), F.col("others")).alias("others"))
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return short.unionByName(pairs.repartition(parts))
+def _pieces(long: DataFrame) -> DataFrame:
+    """``(items, others)``: pairs of pieces of long baskets, spread over tasks; null ``others`` stand for the piece itself."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                x = x.values
+                ps = [x.slice(i, BLOCK_ITEMS) for i in range(0, len(x), BLOCK_ITEMS)]
+                for i, p in enumerate(ps):  # one piece with all that come after it, some at a time
+                    for k in range(i, len(ps), 64):
+                        others = [q.to_numpy(zero_copy_only=False) if j > i else None for j, q in enumerate(ps[k : k + 64], k)]
+                        yield pa.RecordBatch.from_arrays([pa.array([p.to_numpy(zero_copy_only=False)] * len(others), pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))], names=["items", "others"])
+
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return long.mapInArrow(cut, "items array<long>, others array<long>").repartition(parts)
 
 
 def pair_counts(sets: DataFrame, dropped: np.ndarray, hot: np.ndarray) -> DataFrame:
@@ -125,12 +127,6 @@ def pair_counts(sets: DataFrame, dropped: np.ndarray, hot: np.ndarray) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stripes = Stripes()
         for batch in batches:
-            # two pieces of a long basket: every item of one with every item of the other
-            across = pc.is_valid(batch.column(1))
-            two = batch.filter(across)
-            for x, y in zip(lists(two.column(0)), lists(two.column(1))):
-                stripes.add(np.repeat(x, len(y)), np.tile(y, len(x)))
-            batch = batch.filter(pc.invert(across))
             col = batch.column(0)
             flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))
             if len(dropped):
@@ -144,6 +140,20 @@ def pair_counts(sets: DataFrame, dropped: np.ndarray, hot: np.ndarray) -> DataFr
                 yield from emit(stripes)
         yield from emit(stripes)
 
+    def run_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stripes = Stripes()
+        for batch in batches:
+            for x, y in zip(lists(batch.column(0)), batch.column(1)):
+                if y.is_valid:
+                    (y,) = lists([y])
+                    stripes.add(np.repeat(x, len(y)), np.tile(y, len(x)))
+                else:
+                    left, right = np.triu_indices(len(x), 1)
+                    stripes.add(x[left], x[right])
+                if stripes.size > 4 * BLOCK_PAIRS:
+                    yield from emit(stripes)
+        yield from emit(stripes)
+
     def emit(stripes: Stripes) -> Iterator[pa.RecordBatch]:
         a, b, n = stripes.combine()
         stripes.waiting, stripes.size, stripes.kept = [], 0, 0
@@ -159,7 +169,9 @@ def pair_counts(sets: DataFrame, dropped: np.ndarray, hot: np.ndarray) -> DataFr
         for k in range(0, whole.num_rows, 20_000):
             yield whole.slice(k, 20_000)
 
-    stripes = _pieces(sets.filter(F.size("items") > 1)).mapInArrow(run, "a long, part int, bs array<long>, ks array<int>")
+    kind = "a long, part int, bs array<long>, ks array<int>"
+    stripes = sets.filter((F.size("items") > 1) & (F.size("items") <= BLOCK_ITEMS)).mapInArrow(run, kind)
+    stripes = stripes.unionByName(_pieces(sets.filter(F.size("items") > BLOCK_ITEMS)).mapInArrow(run_pieces, kind))
     # the exchange carries whole stripes; what follows is summed within it, without another one
     merged = stripes.repartition("a", "part").select("a", "part", F.explode(F.arrays_zip("bs", "ks")).alias("e"))
     return merged.groupBy("a", "part", F.col("e.bs").alias("b")).agg(F.sum(F.col("e.ks").cast("long")).alias("k")).select("a", "b", "k")
