@@ -249,7 +249,6 @@ class Server:
             state[t.name] = {"parts": parts, "low": t.low, "next": top, "schema": t.data.schema.json()}
         self.schema.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/_state/batch={batch_id}")
         self._load(batch_id, state)
-        self._clean()
 
     def _clean(self) -> None:
         """Delete the states before the last two, and the parts that only they name."""
@@ -290,9 +289,13 @@ class Server:
         return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if "batch=" in s.getPath().getName())
 
     def run_batch(self, actions: list[Action], batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch; to be handed to ``foreachBatch``. What it wrote for its own use is deleted after the next one."""
+        """One micro-batch; to be handed to ``foreachBatch``.
+
+        What it wrote for its own use is deleted after the next one that evaluates
+        the schema; until then removed rows and states may still be read from it.
+        """
         with self._turn:
-            mark = len(scratch_made)
+            mark, evaluated = len(scratch_made), self.schema.evaluated_at
             if self.folder is not None:
                 before = [b for b in self._saved() if b < batch_id]
                 if before and self.done != before[-1]:
@@ -300,7 +303,10 @@ class Server:
             if not self.submit(actions, batch, batch_id):
                 raise EngineError(ErrorCode.ACTION, f"batch {batch_id} failed", str(self.errors[-1])) from self.errors[-1]
             self._save(batch_id)
-            if self.folder is not None:
+            if self.folder is not None and self.schema.evaluated_at == evaluated:
+                self._scratch += scratch_made[mark:]
+            elif self.folder is not None:
+                self._clean()
                 old, self._scratch = self._scratch, scratch_made[mark:]
                 delete_scratch(self.schema.spark, old)
 
