@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from weftline.llm import matching as M
 
 SYL = "ka ro mi tu ve sho bri la ne do zu pe gi sta".split()
@@ -31,3 +33,29 @@ def test_wordings_are_learned_from_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(M, "train", lambda *a: models.append(train(*a)) or models[-1])
     M.match_entities(side(spark, left), side(spark, right))
     assert ("cookies", "biscuits") in models[0].wording
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """A small table that is exploded or hashed is many times as large as the optimizer takes it to be; broadcast, it would pass through the driver."""
+    n = 60
+    left = [(k, f"brand{word(k)} {word(k)}a biscuits", 5.0 + k, "x") for k in range(n)]
+    right = [(k, f"brand{word(k)} {word(k)[:3]}. cookies", 5.0 + k, "x") for k in range(n)]
+    l, r, plans = M.leading_records(side(spark, left)), M.records(side(spark, right)), []
+    wanted, given = (x.select(F.explode("words").alias(name)).distinct() for x, name in ((l, "wanted"), (r, "given")))
+    linked = M.link_words(wanted, given)
+    b = M.blocks(l, r, set())
+    for made in (linked, M.pair_features(M.candidates(b), b.known, l, r, set())):
+        made.collect()
+        plans.append(made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans), plans
+    assert {(x.given, x.wanted) for x in linked.collect()} >= {(f"{word(k)[:3]}.", f"{word(k)}a") for k in range(n)}
+
+
+def test_wordings_stay_in_tables(spark):
+    """However many wordings there are, none comes to the driver, and the pairs say which they are."""
+    left = [(k, f"brand{word(k)} {word(k)}a biscuits", 5.0 + k, "x") for k in range(40)]
+    right = [(k, f"brand{word(k)} {word(k)}a cookies", 5.0 + k, "x") for k in range(40)]
+    rated, model = M.rated_pairs(side(spark, left), side(spark, right))
+    assert [tuple(x) for x in model.wording.table.select("spare", "lacking").collect()] == [("cookies", "biscuits")] and ("soup", "biscuits") not in model.wording
+    said = {(x.spare, x.lacking): x.said for x in rated.collect()}
+    assert said[("cookies", "biscuits")] and not any(v for k, v in said.items() if k != ("cookies", "biscuits"))

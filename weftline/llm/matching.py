@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -61,6 +61,15 @@ class Side:
     category: str | None = None
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """For joins of what grows with the tables: never broadcast, as that passes through the driver.
+
+    The optimizer's sizes don't keep it from that: what explode and Python
+    functions put out is many times as large as it takes it to be.
+    """
+    return df.hint("merge")
+
+
 def name_words(name: Column) -> Column:
     """Words of a name in order, in lower case without accents; a final dot marks an abbreviation. A pack after a comma (it has a number) is no part of the name."""
     plain = F.translate(F.lower(name), *ACCENTS)
@@ -127,7 +136,7 @@ def learn_optional(left: DataFrame, right: DataFrame) -> set[str]:
     gone = F.flatten(F.transform(places, lambda i: F.array(F.slice("words", i + 1, F.lit(1)), F.slice("words", i + 1, F.lit(2)))))
     less = names.filter(F.size("words") > 1).select("set", "price", F.explode(F.array_distinct(F.transform(gone, lambda g: F.sort_array(F.array_distinct(g))))).alias("gone"))
     less = less.select(F.array_except("set", "gone").alias("set"), "gone", F.col("price").alias("dearer"))
-    met = less.join(names.select("set", "price"), "set")
+    met = less.join(shuffled(names.select("set", "price")), "set")
     by = met.groupBy("gone").agg(F.sum((F.abs(F.ln(F.col("dearer") / F.col("price"))) <= LIKE_PRICE).cast("long")).alias("like"), F.count(F.lit(1)).alias("n"))
     by = by.filter((F.col("like") >= WORDING_PAIRS) & (F.col("like") >= WORDING_SHARE * F.col("n")))
     return {r[0] for r in by.select(F.explode("gone").alias("w")).distinct().collect()}
@@ -196,12 +205,13 @@ def link_words(wanted: DataFrame, given: DataFrame) -> DataFrame:
     """
     bands, rows = band_shape(wanted.count())
     given = given.withColumn("bare", F.regexp_replace("given", "[.]", ""))
-    equal = given.join(wanted, F.col("bare") == F.col("wanted")).select("given", "wanted", F.lit(1.0).alias("sim"))
-    odd = given.join(wanted, F.col("bare") == F.col("wanted"), "left_anti")
-    near = banded(odd, "given", bands, rows).join(banded(wanted, "wanted", bands, rows), "key").select("given", "wanted").distinct()
+    equal = given.join(shuffled(wanted), F.col("bare") == F.col("wanted")).select("given", "wanted", F.lit(1.0).alias("sim"))
+    odd = given.join(shuffled(wanted), F.col("bare") == F.col("wanted"), "left_anti")
+    near = banded(odd, "given", bands, rows).join(shuffled(banded(wanted, "wanted", bands, rows)), "key").select("given", "wanted").distinct()
     # an abbreviation shares its beginning, though perhaps few letter pairs: it meets the words that begin with all of it
     heads = F.sequence(F.lit(2), F.length("wanted"))
-    short = odd.filter(F.endswith("given", F.lit(".")) & (F.length("bare") >= 2)).join(wanted.filter(F.length("wanted") >= 2).select("wanted", F.explode(F.transform(heads, lambda n: F.substring("wanted", F.lit(1), n))).alias("bare")), "bare")
+    begun = wanted.filter(F.length("wanted") >= 2).select("wanted", F.explode(F.transform(heads, lambda n: F.substring("wanted", F.lit(1), n))).alias("bare"))
+    short = odd.filter(F.endswith("given", F.lit(".")) & (F.length("bare") >= 2)).join(shuffled(begun), "bare")
     near = near.unionByName(short.select("given", "wanted")).distinct().withColumn("sim", similarity(F.col("wanted"), F.col("given")))
     return equal.unionByName(near.filter(F.col("sim") >= LEAST_SIMILAR))
 
@@ -228,25 +238,25 @@ def blocks(left: DataFrame, right: DataFrame, optional: set[str], heavy_block: i
     others = materialise(link_words(left.select(F.explode("rest").alias("wanted")).select(F.regexp_replace("wanted", "[.]", "").alias("wanted")).distinct(), given), "words")
     said = right.select("rrec", F.explode("core").alias("given"))
     # the other words of a right record, in the left table's spelling; the word taken for the brand is left out
-    spoken = said.join(others, "given").select("rrec", F.struct("given", "wanted").alias("w")).groupBy("rrec").agg(F.collect_set("w").alias("ws"))
-    heads = said.join(brands, "given").select("rrec", "given", F.col("wanted").alias("brand")).join(spoken, "rrec", "left").join(right.select("rrec", F.size("core").alias("n")), "rrec")
+    spoken = said.join(shuffled(others), "given").select("rrec", F.struct("given", "wanted").alias("w")).groupBy("rrec").agg(F.collect_set("w").alias("ws"))
+    heads = said.join(shuffled(brands), "given").select("rrec", "given", F.col("wanted").alias("brand")).join(shuffled(spoken), "rrec", "left").join(shuffled(right.select("rrec", F.size("core").alias("n"))), "rrec")
     rest = F.transform(F.filter(F.coalesce("ws", F.array()), lambda w: w["given"] != F.col("given")), lambda w: w["wanted"])
     heads = heads.select("rrec", "brand", F.array_distinct(rest).alias("rest"), (F.col("n") - 1).alias("n_rest"))
     bare = F.regexp_replace("brand", "[.]", "").alias("brand")
     alone = F.when(F.col("n_rest") == 0, F.array(F.lit(""))).otherwise(F.col("rest"))
     lkeys = left.withColumn("n_rest", F.size("rest")).select("lrec", bare, F.explode(alone).alias("word"), "n_rest").withColumn("word", F.regexp_replace("word", "[.]", ""))
     lkeys, rkeys = materialise(lkeys, "left"), materialise(heads.select("rrec", "brand", F.explode(alone).alias("word"), "n_rest"), "right")
-    sizes = lkeys.groupBy("brand", "word").agg(F.count(F.lit(1)).alias("m")).join(rkeys.groupBy("brand", "word").agg(F.count(F.lit(1)).alias("n")), ["brand", "word"])
+    sizes = lkeys.groupBy("brand", "word").agg(F.count(F.lit(1)).alias("m")).join(shuffled(rkeys.groupBy("brand", "word").agg(F.count(F.lit(1)).alias("n"))), ["brand", "word"])
     heavy = materialise(sizes.filter(F.col("m") * F.col("n") >= heavy_block).select("brand", "word"), "heavy")
     equal = brands.filter("sim = 1").select("given").unionByName(others.filter("sim = 1").select("given")).distinct()
-    known = said.join(equal, "given").groupBy("rrec").agg(F.collect_set("given").alias("known"))
+    known = said.join(shuffled(equal), "given").groupBy("rrec").agg(F.collect_set("given").alias("known"))
     return Blocks(lkeys, rkeys, known, heavy)
 
 
 def candidates(b: Blocks) -> DataFrame:
     """``(lrec, rrec)``: pairs of records whose brands are linked and that share another word, heavy blocks aside."""
     left = b.left.join(b.heavy, ["brand", "word"], "left_anti")
-    return left.join(b.right, ["brand", "word"]).select("lrec", "rrec").distinct()
+    return left.join(shuffled(b.right), ["brand", "word"]).select("lrec", "rrec").distinct()
 
 
 def heavy_candidates(b: Blocks, wording: set[tuple[str, str]]) -> DataFrame:
@@ -329,7 +339,7 @@ def pair_features(pairs: DataFrame, known: DataFrame, left: DataFrame, right: Da
     """The pairs with their name features, prices and categories."""
     lcols = left.select(F.col("rec").alias("lrec"), F.col("words").alias("lwords"), "prices", F.col("category").alias("lcat"))
     rcols = right.select(F.col("rec").alias("rrec"), F.col("words").alias("rwords"), F.col("price").alias("rprice"), F.col("category").alias("rcat"))
-    joined = pairs.join(lcols, "lrec").join(rcols, "rrec").join(known, "rrec", "left")
+    joined = pairs.join(shuffled(lcols), "lrec").join(shuffled(rcols), "rrec").join(shuffled(known), "rrec", "left")
     gap = F.array_min(F.transform("prices", lambda p: F.abs(F.ln(F.col("rprice") / p))))
     joined = joined.select("lrec", "rrec", "lwords", "rwords", "known", gap.alias("gap"), "lcat", "rcat")
     loose = frozenset(optional)
@@ -367,20 +377,34 @@ def agreed_wording(by: pd.DataFrame) -> set[tuple[str, str]]:
     return set(zip(by["spare"][good], by["lacking"][good]))
 
 
-def learn_wording_of_all(rated: DataFrame, used: DataFrame) -> set[tuple[str, str]]:
-    """As ``learn_wording``, over all rated pairs; ``used`` has the left table's words. Only what reaches WORDING_PAIRS comes to the driver."""
+class Wordings:
+    """(spare, lacking) of the learned wordings: a table, as there are the more of them the more spellings the names have."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+
+    def __contains__(self, pair: tuple[str, str]) -> bool:
+        return bool(self.table.filter((F.col("spare") == F.lit(pair[0])) & (F.col("lacking") == F.lit(pair[1]))).head(1))
+
+    def marked(self, rated: DataFrame) -> DataFrame:
+        """The pairs with ``said``: whether the words that differ are a wording."""
+        return rated.join(self.table.withColumn("is_said", F.lit(True)), ["spare", "lacking"], "left").withColumn("said", F.coalesce("is_said", F.lit(False))).drop("is_said")
+
+
+def learn_wording_of_all(rated: DataFrame, used: DataFrame) -> Wordings:
+    """As ``learn_wording``, by the same rule, over all rated pairs and in tables alone; ``used`` has the left table's words."""
     f = rated.filter((F.col("brand") >= 0.95) & (F.col("no_price") == 0) & ((F.col("spare") != "") | (F.col("lacking") != "")))
-    by = f.groupBy("spare", "lacking").agg(F.sum((F.col("price") <= LIKE_PRICE).cast("long")).alias("sum"), F.count(F.lit(1)).alias("count"))
+    by = materialise(f.groupBy("spare", "lacking").agg(F.sum((F.col("price") <= LIKE_PRICE).cast("long")).alias("sum"), F.count(F.lit(1)).alias("count")).filter("sum > 0"), "differences")
     words = by.filter("spare != ''").select("spare").distinct().select("spare", F.explode(F.split("spare", " ")).alias("word"))
-    new = words.join(used.select(F.col("w").alias("known")), F.regexp_replace("word", "[.]", "") == F.col("known"), "left_anti").select("spare").distinct()
-    most = by.join(new, "spare", "left_semi").groupBy("spare").agg(F.sum("sum").alias("most"))
-    often = by.filter(F.col("sum") >= WORDING_PAIRS).join(most, "spare", "left").filter("spare = '' or most is not null")
-    return agreed_wording(often.toArrow().to_pandas())
+    new = words.join(shuffled(used.select(F.col("w").alias("known"))), F.regexp_replace("word", "[.]", "") == F.col("known"), "left_anti").select("spare").distinct()
+    most = by.join(shuffled(new), "spare", "left_semi").groupBy("spare").agg(F.sum("sum").alias("most"))
+    often = by.filter((F.col("sum") >= WORDING_PAIRS) & (F.col("sum") >= WORDING_SHARE * F.col("count"))).join(shuffled(most), "spare", "left")
+    return Wordings(materialise(often.filter("spare = '' or sum >= 0.5 * most").select("spare", "lacking"), "wordings"))
 
 
-def final_features(f: pd.DataFrame, wording: set[tuple[str, str]]) -> pd.DataFrame:
-    """cover, mean and extra, with the learned wordings taken into account."""
-    said = np.array([p in wording for p in zip(f["spare"], f["lacking"])], bool)
+def final_features(f: pd.DataFrame) -> pd.DataFrame:
+    """cover, mean and extra, with the learned wordings (pairs that are ``said``) taken into account."""
+    said = f["said"].to_numpy(bool)
     lacking = np.array([len(x.split()) for x in f["lacking"]], float)
     spare = np.array([len(x.split()) for x in f["spare"]], float)
     lowest, n = f["lowest"].to_numpy(float), np.maximum(1, f["n_rest"].to_numpy(float))
@@ -406,7 +430,7 @@ class MatchModel:
     shift: float
     price: np.ndarray  # for each class of price differences, what it adds to the log odds of a match; 0 for none
     category: dict[tuple[str, str], float]
-    wording: set[tuple[str, str]]
+    wording: Wordings | None
 
     def matrix(self, f: pd.DataFrame) -> np.ndarray:
         seen = [self.category.get((a, b), self.category.get(("", ""), 0.0)) if isinstance(a, str) and isinstance(b, str) else None for a, b in zip(f["lcat"], f["rcat"])]
@@ -414,7 +438,7 @@ class MatchModel:
         return np.c_[np.ones(len(f)), f[list(FEATURES)].to_numpy(float)]
 
     def confidence(self, f: pd.DataFrame) -> np.ndarray:
-        f = final_features(f, self.wording)
+        f = final_features(f)
         return _sigmoid(self.scale * (self.matrix(f) @ self.weights) + self.shift + self.price[price_classes(f)])
 
 
@@ -442,7 +466,7 @@ def category_lift(f: pd.DataFrame, same: np.ndarray) -> dict[tuple[str, str], fl
     return lift | {("", ""): float(np.log(0.5 * len(cats) / (one.mean() * two.mean() + 0.5 * len(cats))))}
 
 
-def train(sample: pd.DataFrame, wording: set[tuple[str, str]], rounds: int = 25) -> MatchModel:
+def train(sample: pd.DataFrame, wording: Wordings | None, rounds: int = 25) -> MatchModel:
     """Fit on two thirds of the pairs, calibrate on the rest (Platt).
 
     The weak label of a pair is the class of its price difference: it agrees far
@@ -451,7 +475,7 @@ def train(sample: pd.DataFrame, wording: set[tuple[str, str]], rounds: int = 25)
     often, and the weights of the names with it.  It is the same at every size:
     with few pairs the weights stay near PRIOR_WEIGHTS, and without prices there.
     """
-    f = final_features(sample, wording)
+    f = final_features(sample)
     gap, fit = price_classes(f), np.arange(len(f)) % 3 != 0
     prior = np.array(PRIOR_WEIGHTS)
     model = MatchModel(prior, 1.0, 0.0, np.zeros(len(GAPS) + 2), {}, wording)
@@ -483,6 +507,7 @@ def train(sample: pd.DataFrame, wording: set[tuple[str, str]], rounds: int = 25)
 
 def confidences(rated: DataFrame, model: MatchModel) -> DataFrame:
     """``(lrec, rrec, confidence)`` of all rated pairs."""
+    model = replace(model, wording=None)  # the pairs say what is one
 
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -503,10 +528,11 @@ def rated_pairs(left: Side, right: Side, optional: tuple[str, ...] = (), heavy_b
     used = lrecs.select(F.explode("words").alias("w")).distinct()
     wording = learn_wording_of_all(rated, used)
     if b.heavy.count():
-        more = heavy_candidates(b, wording).join(rated.select("lrec", "rrec"), ["lrec", "rrec"], "left_anti")
+        more = heavy_candidates(b, {(x.spare, x.lacking) for x in wording.table.collect()}).join(rated.select("lrec", "rrec"), ["lrec", "rrec"], "left_anti")
         rated = materialise(rated.unionByName(pair_features(more, b.known, lrecs, rrecs, loose)), "rated")
         wording = learn_wording_of_all(rated, used)
     share = min(1.0, SAMPLE / max(1, rated.count()))
+    rated = wording.marked(rated)
     chosen = F.pmod(F.xxhash64("lrec", "rrec", F.lit(11)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     sample = rated.filter(chosen).toArrow().to_pandas().sort_values(["lrec", "rrec"]).reset_index(drop=True)
     return rated, train(sample, wording)
@@ -537,7 +563,7 @@ def match_entities(left: Side, right: Side, optional: tuple[str, ...] = (), thre
 
     best = Window.partitionBy("rrec").orderBy(F.desc("confidence"), "left_id")
     matched = rated.withColumnRenamed("lrec", "left_id").withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
-    one = matched.join(ids(right, "rrec", "right_id"), "rrec")
+    one = matched.join(shuffled(ids(right, "rrec", "right_id")), "rrec")
     # several records of one right id: the surest, then the lowest
     top = one.groupBy("right_id").agg(F.max_by(F.struct("left_id", "confidence"), F.struct("confidence", -F.col("left_id"))).alias("m"))
     return top.select("m.left_id", "right_id", "m.confidence")
