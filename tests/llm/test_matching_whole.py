@@ -59,3 +59,30 @@ def test_wordings_stay_in_tables(spark):
     assert [tuple(x) for x in model.wording.table.select("spare", "lacking").collect()] == [("cookies", "biscuits")] and ("soup", "biscuits") not in model.wording
     said = {(x.spare, x.lacking): x.said for x in rated.collect()}
     assert said[("cookies", "biscuits")] and not any(v for k, v in said.items() if k != ("cookies", "biscuits"))
+
+
+def test_heavy_blocks_are_compared_all_with_all(spark):
+    """Pairs that share one common word alone are rated in heavy blocks as in others: the size of a block decides nothing."""
+    n = 60
+    left = [(k, f"Hotbrand {word(k)} jam", 3.0 * 1.2**k, "x") for k in range(n)]
+    # a third have a word that the left table doesn't know
+    right = [(1000 + k, f"hotbrand {word(k)} jam" if k % 3 else f"hotbrand jam {word(k)[::-1]}xxqq", 3.0 * 1.2**k, "x") for k in range(n)]
+    right += [(2000, "Hotbrand jam", 3.0, "x")]
+    l, r = side(spark, left), side(spark, right)
+    got = {}
+    for heavy in (9, 100, 1 << 60):
+        rows = M.confidences(*M.rated_pairs(l, r, (), heavy)).collect()
+        got[heavy] = {(x.lrec, x.rrec): round(x.confidence, 9) for x in rows}
+        assert len(rows) == len(got[heavy]) == n * (n + 1)
+    assert got[9] == got[100] == got[1 << 60]
+
+
+def test_slices_of_a_heavy_block_are_small(spark):
+    """No slice has many more pairs than a block may have, whichever side is the long one, and every pair is in one slice."""
+    for m, n in ((180, 7), (7, 180), (90, 90)):
+        left = [(k, f"Hotbrand {word(k)} jam", 3.0, "x") for k in range(m)]
+        right = [(k, f"Hotbrand {word(k)} jam", 3.0 + k, "x") for k in range(n)]
+        b = M.blocks(M.leading_records(side(spark, left)), M.records(side(spark, right)), set(), 400)
+        block = b.heavy.filter("word = 'jam'").first()
+        assert (block.lparts, block.rparts) == (-(-m // 20), -(-n // 20))
+        assert M.heavy_pairs(b).count() == M.heavy_pairs(b).distinct().count() == m * n

@@ -5,9 +5,10 @@ that differ by nothing else have like prices.  Without them, a record of the lef
 table leads with its brand word; in the right table any word may be the brand.
 Words that don't occur on the other side are linked to similar ones by MinHash
 over their letter pairs.  Records are compared if their brand words are linked and
-they share one other word or more (two or more where a brand and a word are so
-common that comparing all with all would grow without bound).  Where names of one brand and like prices differ again and
-again by the same words, these are taken for another wording of one thing.  A
+they share one other word or more; where a brand and a word are so common that one
+task would have too many pairs, these are cut into slices.  Where names of one
+brand and like prices differ again and again by the same words, these are taken
+for another wording of one thing.  A
 logistic model over similarities of names and categories, trained on the weak
 labels that prices give and calibrated on others, rates the pairs together with
 their prices.
@@ -31,7 +32,7 @@ from weftline.session import materialise, ship_package
 #: Words: bands over letter pairs; chance meetings per word that the rows of a band may leave (two words share about
 #: a tenth of their letter pairs by chance); least similarity of linked words.
 WORD_BANDS, CHANCE_MEETINGS, LEAST_SIMILAR = 32, 500, 0.6
-#: A block of this many pairs or more is not compared all with all.
+#: A block of this many pairs or more is compared in slices of about so many.
 HEAVY_BLOCK = 1_000_000
 #: Another wording needs so many pairs of like prices (their logarithms differ by no more than this), and this share of all pairs that differ by the same words.
 WORDING_PAIRS, LIKE_PRICE, WORDING_SHARE = 3, 0.08, 0.5
@@ -223,7 +224,7 @@ class Blocks:
     left: DataFrame  # lrec, brand, word, n_rest
     right: DataFrame  # rrec, brand, word, n_rest
     known: DataFrame  # rrec, known: the words of right records that the left table uses as well
-    heavy: DataFrame  # brand, word of the blocks that are not compared all with all
+    heavy: DataFrame  # brand, word, lparts, rparts of the blocks that are compared in slices, and into how many parts each side falls
 
 
 def blocks(left: DataFrame, right: DataFrame, optional: set[str], heavy_block: int = HEAVY_BLOCK) -> Blocks:
@@ -247,7 +248,8 @@ def blocks(left: DataFrame, right: DataFrame, optional: set[str], heavy_block: i
     lkeys = left.withColumn("n_rest", F.size("rest")).select("lrec", bare, F.explode(alone).alias("word"), "n_rest").withColumn("word", F.regexp_replace("word", "[.]", ""))
     lkeys, rkeys = materialise(lkeys, "left"), materialise(heads.select("rrec", "brand", F.explode(alone).alias("word"), "n_rest"), "right")
     sizes = lkeys.groupBy("brand", "word").agg(F.count(F.lit(1)).alias("m")).join(shuffled(rkeys.groupBy("brand", "word").agg(F.count(F.lit(1)).alias("n"))), ["brand", "word"])
-    heavy = materialise(sizes.filter(F.col("m") * F.col("n") >= heavy_block).select("brand", "word"), "heavy")
+    parts = [F.ceil(F.col(c) / max(1, math.isqrt(heavy_block))).cast("int").alias(p) for c, p in (("m", "lparts"), ("n", "rparts"))]
+    heavy = materialise(sizes.filter(F.col("m") * F.col("n") >= heavy_block).select("brand", "word", *parts), "heavy")
     equal = brands.filter("sim = 1").select("given").unionByName(others.filter("sim = 1").select("given")).distinct()
     known = said.join(shuffled(equal), "given").groupBy("rrec").agg(F.collect_set("given").alias("known"))
     return Blocks(lkeys, rkeys, known, heavy)
@@ -259,12 +261,33 @@ def candidates(b: Blocks) -> DataFrame:
     return left.join(shuffled(b.right), ["brand", "word"]).select("lrec", "rrec").distinct()
 
 
+def heavy_pairs(b: Blocks) -> DataFrame:
+    """``(lrec, rrec)``: all pairs of heavy blocks. Every part of one side meets every part of the other in a slice of its own."""
+    keys, n = ["brand", "word", "lpart", "rpart"], int(b.left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def parts(rec: str, part: str, of: str) -> Column:
+        return F.pmod(F.xxhash64(rec), F.col(of)).cast("int").alias(part)
+
+    def every(part: str, of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias(part)
+
+    left = b.left.join(b.heavy, ["brand", "word"]).select("lrec", "brand", "word", parts("lrec", "lpart", "lparts"), every("rpart", "rparts"))
+    right = b.right.join(b.heavy, ["brand", "word"]).select("rrec", "brand", "word", every("lpart", "lparts"), parts("rrec", "rpart", "rparts"))
+    # a number of partitions that is asked for stays: the rows are few, the pairs they make are not
+    return left.repartition(n, *keys).join(shuffled(right.repartition(n, *keys)), keys).select("lrec", "rrec")
+
+
+def all_candidates(b: Blocks) -> DataFrame:
+    """``(lrec, rrec)``: all pairs of records whose brands are linked and that share another word, however common it is."""
+    return candidates(b).unionByName(heavy_pairs(b)).distinct() if b.heavy.count() else candidates(b)
+
+
 def heavy_candidates(b: Blocks, wording: set[tuple[str, str]]) -> DataFrame:
-    """The pairs of heavy blocks that can match: those that share a second other word, or of which one has no second.
+    """The likeliest pairs of heavy blocks: those that share a second other word, or of which the left one has no second. No query rests on them; see ``heavy_pairs``.
 
     A learned wording counts as sharing: where a right record says its spare
-    words, it stands under the lacking ones too.  All other pairs of such a block
-    share a word and nothing else, which no model takes for a match.
+    words, it stands under the lacking ones too.  Other pairs of such a block share
+    one linked word, which can be enough for a match.
     """
     spark = b.left.sparkSession
     said = spark.createDataFrame([(s, x) for spare, lacking in sorted(wording) for s in spare.split()[:1] for x in lacking.split()], "said string, word string")
@@ -524,13 +547,8 @@ def rated_pairs(left: Side, right: Side, optional: tuple[str, ...] = (), heavy_b
     lrecs, rrecs = materialise(leading_records(left), "left"), materialise(records(right), "right")
     loose = {*optional, *learn_optional(lrecs, rrecs)}
     b = blocks(lrecs, rrecs, loose, heavy_block)
-    rated = materialise(pair_features(candidates(b), b.known, lrecs, rrecs, loose), "rated")
-    used = lrecs.select(F.explode("words").alias("w")).distinct()
-    wording = learn_wording_of_all(rated, used)
-    if b.heavy.count():
-        more = heavy_candidates(b, {(x.spare, x.lacking) for x in wording.table.collect()}).join(rated.select("lrec", "rrec"), ["lrec", "rrec"], "left_anti")
-        rated = materialise(rated.unionByName(pair_features(more, b.known, lrecs, rrecs, loose)), "rated")
-        wording = learn_wording_of_all(rated, used)
+    rated = materialise(pair_features(all_candidates(b), b.known, lrecs, rrecs, loose), "rated")
+    wording = learn_wording_of_all(rated, lrecs.select(F.explode("words").alias("w")).distinct())
     share = min(1.0, SAMPLE / max(1, rated.count()))
     rated = wording.marked(rated)
     chosen = F.pmod(F.xxhash64("lrec", "rrec", F.lit(11)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
